@@ -52,3 +52,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.host_quality import score_documents
 
     return score_documents(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@_query("op8_temperature_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.temperature_mix import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_sampled_splitters")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.sampled_splitters import shard_digest
+
+    placed = shard_digest(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
