@@ -69,3 +69,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@_query("op4_setsketch")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.setsketch import SketchParams, near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), params=SketchParams(shingle=3, threshold_pct=85))
