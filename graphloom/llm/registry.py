@@ -76,3 +76,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.setsketch import SketchParams, near_duplicate_classes
 
     return near_duplicate_classes(table(spark, sf_dir, "documents"), params=SketchParams(shingle=3, threshold_pct=85))
+
+
+@_query("op1_tag_paths")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.tag_paths import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
