@@ -83,3 +83,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.tag_paths import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@_query("op3_license_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
