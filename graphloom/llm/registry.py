@@ -90,3 +90,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_ftrl_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ftrl_toxicity import fit_and_score
+
+    return fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
