@@ -97,3 +97,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.ftrl_toxicity import fit_and_score
 
     return fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op10_simhash_leaks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.simhash_leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
