@@ -110,3 +110,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+l AS (SELECT d, max(page_id) AS lead FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN lead END AS refers_to, url AS target_uri
+FROM p LEFT JOIN l ON p.d = l.d
+"""
+
+
+@_query("op5_warc", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
