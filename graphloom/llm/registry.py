@@ -127,3 +127,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@_query("op2_line_templates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.line_templates import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
