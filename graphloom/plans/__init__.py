@@ -1 +1,11 @@
+"""Plans over the driver tables; ``load_queries`` fills the registry."""
 
+
+def load_queries() -> None:
+    import importlib
+
+    for name in QUERY_MODULES:
+        importlib.import_module(f"graphloom.plans.{name}")
+
+
+QUERY_MODULES = ("catalog_queries",)
