@@ -24,6 +24,8 @@ from graphloom.llm.hashing import word_hashes
 from graphloom.session import reliable_checkpoint
 
 _FIELD = re.compile(r"\S*(?:\d|@|://)\S*")
+#: Occurs in every line that has a field, and is quickly seen not to occur in the others.
+_HINT = re.compile(r"[\d@]|://")
 WILD = "<*>"
 _WILD = np.uint64(0)
 
@@ -44,7 +46,7 @@ class TemplateParams:
 
 def parse_line(line: str, p: TemplateParams) -> tuple[int, int, list[str]] | None:
     """(leaf, hash of the masked line, masked tokens); None for a line too short to be a template."""
-    if _FIELD.search(line):
+    if _HINT.search(line):
         line = _FIELD.sub(WILD, line)
     tokens = line.split()
     if len(tokens) < p.min_tokens:
@@ -139,9 +141,8 @@ def _cluster_shapes(p: TemplateParams):
     return run
 
 
-def recurring_lines(keyed: DataFrame, p: TemplateParams) -> DataFrame:
-    """(leaf, mask) of masked lines whose template recurs; ``keyed`` has doc (long) and text."""
-    bare = reliable_checkpoint(keyed.mapInArrow(_lines(p, False), "doc long, leaf long, mask long").distinct())
+def recurring_lines(keyed: DataFrame, bare: DataFrame, p: TemplateParams) -> DataFrame:
+    """(leaf, mask) of masked lines whose template recurs; ``keyed`` has doc (long) and text, ``bare`` the documents' distinct lines."""
     # a template lies within a leaf, so a leaf of too few documents has none that recurs
     leaves = bare.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= p.min_docs)
     counted = bare.groupBy("leaf", "mask").agg(F.count(F.lit(1)).alias("docs")).join(leaves.select("leaf"), "leaf", "left_semi")
@@ -169,17 +170,18 @@ def recurring_lines(keyed: DataFrame, p: TemplateParams) -> DataFrame:
     return known.select("leaf", "mask").union(often).distinct()
 
 
-def _rebuild(texts: list, tests: list, p: TemplateParams) -> tuple[list[str], list[int], list[int]]:
-    out, n, gone = [], [], []
-    for text, drop in zip(texts, tests, strict=True):
-        lines = (text or "").split("\n") if text else []
-        kept = []
-        for x in lines:
-            got = parse_line(x, p)
-            if not (got and drop(got[0], got[1])):
-                kept.append(x)
-        out.append("\n".join(kept)), n.append(len(lines)), gone.append(len(lines) - len(kept))
-    return out, n, gone
+def _rebuild(texts: list, gone: list, p: TemplateParams) -> tuple[list[str], list[int], list[int]]:
+    out, n, dropped = [], [], []
+    for text, masks in zip(texts, gone, strict=True):
+        text = text or ""
+        lines = text.count("\n") + 1 if text else 0
+        if masks:
+            masks = set(masks)
+            kept = [x for x in text.split("\n") if not ((got := parse_line(x, p)) and got[1] in masks)]
+            out.append("\n".join(kept)), n.append(lines), dropped.append(lines - len(kept))
+        else:
+            out.append(text), n.append(lines), dropped.append(0)
+    return out, n, dropped
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: TemplateParams | None = None) -> DataFrame:
@@ -190,33 +192,18 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     no line recur; copies under other ids do. Lines end at \\n; texts and lines are read whole; other columns are not read.
     """
     p = params or TemplateParams()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.select(F.xxhash64(F.col("id").cast("string"), F.col("text")).alias("doc"), "text")
-    often = reliable_checkpoint(recurring_lines(keyed, p))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.xxhash64(F.col("id").cast("string"), F.col("text")))
+    keyed = rows.select("doc", "text")
+    # the text's own lines as hashes, once: what recurs and what goes is decided on these
+    bare = reliable_checkpoint(keyed.mapInArrow(_lines(p, False), "doc long, leaf long, mask long").distinct())
+    often = recurring_lines(keyed, bare, p)
+    gone = bare.join(often, ["leaf", "mask"]).groupBy("doc").agg(F.collect_set("mask").alias("gone"))
+    met = rows.join(gone, "doc", "left").select("id", "text", "gone")
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_lines long, n_dropped long, text string"
-
-    def batch(b: pa.RecordBatch, tests: list) -> pa.RecordBatch:
-        text, n, gone = _rebuild(b.column("text").to_pylist(), tests, p)
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], names=["id", "n_lines", "n_dropped", "text"])
-
-    if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # few templates go along with the code
-        few = frozenset((r["leaf"], r["mask"]) for r in often.collect())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = lambda leaf, mask: (leaf, mask) in few
-            for b in batches:
-                yield batch(b, [test] * b.num_rows)
-
-        return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
-    # many: each document gets the list of its own recurring lines
-    own = keyed.mapInArrow(_lines(p, False), "doc long, leaf long, mask long").join(often, ["leaf", "mask"]).groupBy("doc").agg(F.collect_set("mask").alias("gone"))
-    met = rows.withColumn("doc", F.xxhash64(F.col("id").cast("string"), F.col("text"))).join(own, "doc", "left").select("id", "text", "gone")
-
-    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [set(x or ()) for x in b.column("gone").to_pylist()]
-            yield batch(b, [(lambda leaf, mask, g=g: mask in g) for g in gone])
+            text, n, dropped = _rebuild(b.column("text").to_pylist(), b.column("gone").to_pylist(), p)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(text, pa.string())], names=["id", "n_lines", "n_dropped", "text"])
 
-    return met.mapInArrow(run_own, schema).withColumnRenamed("id", id_col)
+    return met.mapInArrow(run, f"id {kind}, n_lines long, n_dropped long, text string").withColumnRenamed("id", id_col)
