@@ -178,6 +178,7 @@ def test_recurring_lines_go_by_template(make, prose, monkeypatch):
     got = {r["doc_id"]: r for r in LT.drop_recurring_lines(make(docs)).collect()}
     assert [got[i]["text"] for i in range(len(docs))] == want
     assert got[0]["n_dropped"] == 3 and got[0]["n_lines"] == 7 and got[12]["n_lines"] == 0
+    # leaves joined by shuffle instead of broadcast
     monkeypatch.setattr(LT, "BROADCAST_ROWS", 0)
     assert {r["doc_id"]: r["text"] for r in LT.drop_recurring_lines(make(docs)).collect()} == {i: got[i]["text"] for i in got}
 
