@@ -33,7 +33,7 @@ class FtrlParams:
     l2: float = 1.0
     positive_weight: float = 1.0
     epochs: int = 4
-    max_train_rows: int = 20_000
+    max_train_rows: int = 12_000
     seed: int = 6
 
 
@@ -115,13 +115,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t, p) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], names=["r", "f", "y"])
 
     found = got.select("__rank", "__text", "__y").mapInArrow(run, "r long, f array<int>, y int").toArrow()
-    found = found.sort_by("r")
-    flat, ends, ys = [], [], found.column("y").to_pylist()
+    # views of the Arrow buffers, put in order by index: the coordinates are held once
+    flat: list[np.ndarray] = []
     for chunk in found.column("f").chunks:
-        offsets = chunk.offsets.to_numpy()
-        values = chunk.values.to_numpy(zero_copy_only=False)
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
         flat += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return list(zip(flat, ys, strict=True))
+    ys = found.column("y").to_pylist()
+    return [(flat[i], ys[i]) for i in np.argsort(found.column("r").to_numpy(), kind="stable")]
 
 
 def score_documents(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
