@@ -27,7 +27,9 @@ class QualityParams:
     more than ``max_dup_line_pct`` repeated lines per 100 lines, or a mean word length outside
     ``word_len``. A host is rejected when its shrunk failure rate exceeds ``host_reject_rate``; in a
     rejected host the soft rules bind, elsewhere they only count towards the host's rate. Clean
-    documents of a rejected host are kept.
+    documents of a rejected host are kept. With ``doc_slack`` a document of any host also goes when it breaks a
+    soft rule by more than a factor that the host's rate moves: 1 + ``doc_slack`` in a host without failures,
+    down to 1 at ``host_reject_rate``.
     """
 
     min_words: int = 20
@@ -37,6 +39,7 @@ class QualityParams:
     word_len: tuple[int, int] = (2, 20)
     host_reject_rate: float = 0.5
     prior_strength: tuple[float, float] = (2.0, 1000.0)
+    doc_slack: float | None = None
 
 
 def _repeat_words(w: Column) -> Column:
@@ -89,17 +92,28 @@ def measures(text: Column) -> Column:
     )
 
 
+def _breaks_soft(c: Column, p: QualityParams, factor: Column) -> Column:
+    n = c["w"]["n_words"]
+    return (
+        (c["n_symbols"] * 100 > n * p.max_symbol_pct * factor)
+        | (c["l"]["n_dup_lines"] * 100 > c["l"]["n_lines"] * p.max_dup_line_pct * factor)
+        | (c["w"]["word_chars"] * factor < n * p.word_len[0])
+        | (c["w"]["word_chars"] > n * p.word_len[1] * factor)
+    )
+
+
 def _judged(df: DataFrame, m: str, p: QualityParams, base: str, soft: str) -> DataFrame:
     c = F.col(m)
     n = c["w"]["n_words"]
     base_failed = (n < p.min_words) | (c["w"]["n_repeat_words"] * 100 > n * p.max_repeat_pct)
-    soft_failed = (
-        (c["n_symbols"] * 100 > n * p.max_symbol_pct)
-        | (c["l"]["n_dup_lines"] * 100 > c["l"]["n_lines"] * p.max_dup_line_pct)
-        | (c["w"]["word_chars"] < n * p.word_len[0])
-        | (c["w"]["word_chars"] > n * p.word_len[1])
-    )
-    return df.withColumns({base: base_failed, soft: soft_failed})
+    return df.withColumns({base: base_failed, soft: _breaks_soft(c, p, F.lit(1))})
+
+
+def _verdict(c: Column, p: QualityParams, soft: Column, rate: Column, rejected: Column) -> Column:
+    """Whether a document that passes the base rule is rejected."""
+    if p.doc_slack is None:
+        return rejected & soft
+    return (rejected & soft) | _breaks_soft(c, p, 1 + p.doc_slack * F.greatest(F.lit(0.0), 1 - rate / p.host_reject_rate))
 
 
 def host_verdicts(judged: DataFrame, host: str, base: str, soft: str, p: QualityParams) -> tuple[DataFrame, int]:
@@ -160,7 +174,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "soft_failed",
         "host_rate",
         "host_rejected",
-        (~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed"))).alias("kept"),
+        (~F.col("base_failed") & ~_verdict(m, p, F.col("soft_failed"), F.col("host_rate"), F.col("host_rejected"))).alias("kept"),
     )
 
 
@@ -173,7 +187,8 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     names, m = docs.columns, "__quality_m"
     rows = _judged(docs.withColumn(m, measures(F.col(text_col))), m, p, "__quality_base", "__quality_soft")
     hosts, k = host_verdicts(rows.select(F.col(host_col).alias("__quality_host"), "__quality_base", "__quality_soft"), "__quality_host", "__quality_base", "__quality_soft", p)
-    bad = hosts.filter("host_rejected").select(F.col("host").alias("__quality_key"), F.lit(True).alias("__quality_bad"))
+    verdicts = hosts.select(F.col("host").alias("__quality_key"), F.col("host_rate").alias("__quality_rate"), F.col("host_rejected").alias("__quality_bad"))
     passed = rows.filter(~F.col("__quality_base"))
-    joined = passed.join(F.broadcast(bad) if k <= BROADCAST_ROWS else bad, F.col(host_col).eqNullSafe(F.col("__quality_key")), "left")
-    return joined.filter(F.col("__quality_bad").isNull() | ~F.col("__quality_soft")).select(*[F.col(f"`{c}`") for c in names])
+    joined = passed.join(F.broadcast(verdicts) if k <= BROADCAST_ROWS else verdicts, F.col(host_col).eqNullSafe(F.col("__quality_key")), "left")
+    gone = _verdict(F.col(m), p, F.col("__quality_soft"), F.col("__quality_rate"), F.col("__quality_bad"))
+    return joined.filter(~gone).select(*[F.col(f"`{c}`") for c in names])

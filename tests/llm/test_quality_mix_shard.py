@@ -48,6 +48,23 @@ def test_bad_host_binds_soft_rules_and_keeps_clean_documents(make, prose):
     assert sorted(x["doc_id"] for x in kept.select("doc_id").collect()) == sorted(i for i, x in r.items() if x["kept"])
 
 
+def test_junk_spread_over_hosts_goes_and_clean_documents_stay(spark, make, prose):
+    import corpus_pipeline
+
+    junk = [" ".join(f"{w}###" for w in prose(40, 500 + i)) for i in range(20)]
+    mild = " ".join(f"{w}#" if i % 3 == 0 else w for i, w in enumerate(prose(60, 700)))
+    clean = [" ".join(prose(60, 800 + i)) for i in range(100)]
+    docs = clean + junk + [mild]
+    d = make(docs, sources=[f"h{i % 5}" for i in range(len(docs))])
+    r = {x["doc_id"]: x for x in Q.score_documents(d, params=Q.QualityParams(doc_slack=0.5)).collect()}
+    assert not any(x["host_rejected"] for x in r.values())
+    assert all(r[i]["soft_failed"] for i in range(100, 121))
+    # 34 symbols a 100 words lie over the rule but below what a good host's documents may have
+    assert sorted(i for i, x in r.items() if x["kept"]) == [*range(100), 120]
+    kept = corpus_pipeline.quality_rules(spark, d, "")
+    assert kept.columns == d.columns and sorted(x["doc_id"] for x in kept.collect()) == [*range(100), 120]
+
+
 def test_quality_of_nothing_and_null_hosts(make):
     assert Q.score_documents(make([])).count() == 0
     assert Q.keep_documents(make([])).count() == 0
