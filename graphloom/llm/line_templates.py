@@ -33,7 +33,8 @@ _WILD = np.uint64(0)
 @dataclass(frozen=True)
 class TemplateParams:
     """depth: leading tokens in the tree; similarity: least share of equal positions within a template;
-    min_docs: documents in which a template recurs; min_tokens: shorter lines are never templates;
+    min_docs: documents in which a template recurs; min_tokens: lines of fewer are templates of their own, compared
+    as they stand; short_docs: documents in which such a line of under short_chars characters recurs;
     leaf_lines: different lines that are clustered in one go (a leaf with more is clustered in parts, and then its
     parts' templates are)."""
 
@@ -41,18 +42,24 @@ class TemplateParams:
     similarity: float = 0.7
     min_docs: int = 3
     min_tokens: int = 4
+    short_docs: int = 10
+    short_chars: int = 20
     leaf_lines: int = 4096
 
 
 def parse_line(line: str, p: TemplateParams) -> tuple[int, int, list[str]] | None:
-    """(leaf, hash of the masked line, masked tokens); None for a line too short to be a template."""
-    if _HINT.search(line):
-        line = _FIELD.sub(WILD, line)
+    """(leaf, hash of the masked line, masked tokens); None for a blank line. The lowest bit of the leaf tells brief lines."""
     tokens = line.split()
-    if len(tokens) < p.min_tokens:
+    if not tokens:
         return None
+    if len(tokens) < p.min_tokens:
+        text = " ".join(tokens)
+        key = _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+        return key | 1 if len(text) < p.short_chars else key & ~1, key, tokens
+    if _HINT.search(line):
+        tokens = _FIELD.sub(WILD, line).split()
     leaf = xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[: p.depth])}".encode("utf-8", "surrogatepass"))
-    return _signed(leaf), _signed(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))), tokens
+    return _signed(leaf) & ~1, _signed(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))), tokens
 
 
 def _signed(x: int) -> int:
@@ -143,11 +150,12 @@ def _cluster_shapes(p: TemplateParams):
 
 def recurring_lines(keyed: DataFrame, bare: DataFrame, p: TemplateParams) -> DataFrame:
     """(leaf, mask) of masked lines whose template recurs; ``keyed`` has doc (long) and text, ``bare`` the documents' distinct lines."""
+    least = F.when(F.col("leaf").bitwiseAND(1) == 1, p.short_docs).otherwise(p.min_docs)
     # a template lies within a leaf, so a leaf of too few documents has none that recurs
-    leaves = bare.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= p.min_docs)
+    leaves = bare.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least)
     counted = bare.groupBy("leaf", "mask").agg(F.count(F.lit(1)).alias("docs")).join(leaves.select("leaf"), "leaf", "left_semi")
     counted = reliable_checkpoint(counted)
-    known = counted.filter(F.col("docs") >= p.min_docs)
+    known = counted.filter(F.col("docs") >= least)
     # lines that do not recur as they are may recur as a template with others of their leaf
     shared = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
     n_shared = shared.count()
@@ -166,7 +174,7 @@ def recurring_lines(keyed: DataFrame, bare: DataFrame, p: TemplateParams) -> Dat
     second = shapes.groupBy("bin").applyInPandas(_cluster_shapes(p), "leaf long, part_template long, template long")
     named = reliable_checkpoint(first.select("leaf", "mask", "part_template").join(second, ["leaf", "part_template"]).select("leaf", "mask", "template"))
     docs = bare.join(named, ["leaf", "mask"]).select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
-    often = named.join(docs.filter(F.col("docs") >= p.min_docs), ["leaf", "template"]).select("leaf", "mask")
+    often = named.join(docs.filter(F.col("docs") >= least), ["leaf", "template"]).select("leaf", "mask")
     return known.select("leaf", "mask").union(often).distinct()
 
 
