@@ -49,6 +49,12 @@ def test_license_labels():
     assert {f[2] for f in LS.scan("Distributed under the terms of the Mozilla Public License, v. 2.0")["found"]} == {"mpl-2"}
 
 
+def test_license_phrases_broken_by_line_ends_and_punctuation():
+    for sep in (" ", "\n", "  ", "-", ", "):
+        assert {f[2] for f in LS.scan(f"All rights{sep}reserved")["found"]} == {"all-rights-reserved"}
+        assert {f[2] for f in LS.scan(f"It is released into the public{sep}domain.")["found"]} == {"public-domain"}
+
+
 def test_license_table(make):
     t = [None, "", "The MIT License under the mit license. Under the MIT License", "underthe mit license", "x " * 50_000 + "cc by nc"]
     got = {r["doc_id"]: r for r in LS.scan_licenses(make(t, ids=[None, 1, 2, 3, 4])).collect()}
