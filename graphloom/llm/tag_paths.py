@@ -202,14 +202,21 @@ def extract(page: str | None, p: PathParams = PathParams()) -> str:
         root = best
         if els[root].tag == "article":
             break
-    inside = [False] * len(els)
+    # outside of it the content paths stay, and headings within the smallest element that holds all content
+    beside, whole = els[root].tag != "article", 0
+    while holder := next((c for c in els[whole].children if 0 < els[whole].weight == els[c].weight), None):
+        whole = holder
+    inside, near = [False] * len(els), [False] * len(els)
     for i, e in enumerate(els):
         inside[i] = i == root or (e.parent >= 0 and inside[e.parent])
+        near[i] = beside and (i == whole or (e.parent >= 0 and near[e.parent]))
     out: list[str] = []
     last = None
     for e, block, t, linked in kept:
         el = els[e]
-        if not inside[e] or (el.path not in content and linked > p.max_link_share * len(t)):
+        if not inside[e] and not (near[e] and (el.path in content or re.search(r"/h[1-6]", el.path))):
+            continue
+        if el.path not in content and linked > p.max_link_share * len(t):
             continue
         if el.header and not re.search(r"/h[1-6]", el.path):
             continue

@@ -28,6 +28,17 @@ def test_pages(page, text):
     assert TP.extract(page) == text
 
 
+def test_content_beside_the_largest_element_stays():
+    para = "This is a long sentence of the article, with commas, and it says something; it goes on for a while. "
+    side = "<nav><a href=x>Home</a></nav>"
+    page = f"<body>{side}<div class=post><h1>The headline</h1><p>{para * 2}</p><div class=entry>{f'<p>{para * 3}</p>' * 4}</div></div><footer>Imprint</footer></body>"
+    got = TP.extract(page)
+    assert got.startswith("The headline\n" + (para * 2).strip()) and got.count("This is a long") == 14
+    assert "Home" not in got and "Imprint" not in got
+    halves = f"<body>{side}<div><section>{f'<p>{para * 3}</p>' * 6}</section><section>{f'<p>{para * 3}</p>' * 2}</section></div></body>"
+    assert TP.extract(halves).count("This is a long") == 24
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<p>a, b.</p>", "x"), (None, None, None, "y"), (1, "u", "<p>a, b.</p>", "x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
