@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+import time
 import zlib
 
 import pytest
@@ -39,6 +42,85 @@ def test_content_beside_the_largest_element_stays():
     assert TP.extract(halves).count("This is a long") == 24
 
 
+def generated_page(r, sentence, layout):
+    """A page of random shape and its article's blocks."""
+    blocks, article = [], []
+    add = lambda tag, t: (blocks.append(t), article.append(f"<{tag}>{t}</{tag}>"))
+    add("h1", sentence(4)[:-1])
+    for _ in range(r.randint(3, 9)):
+        kind = r.random()
+        if kind < 0.6:
+            add("p", " ".join(sentence(r.randint(6, 14)) for _ in range(r.randint(1, 4))))
+        elif kind < 0.75:
+            add("h2", sentence(3)[:-1])
+            add("p", " ".join(sentence(9) for _ in range(2)))
+        else:
+            article.append("<ul>")
+            for _ in range(r.randint(2, 5)):
+                add("li", sentence(r.randint(2, 7)))
+            article.append("</ul>")
+    links = "".join(f"<li><a href=x>{sentence(1)[:-1]}</a></li>" for _ in range(6))
+    notes = "".join(f"<p>{sentence(8)} {sentence(5)}</p>" for _ in range(r.randint(1, 6)))
+    body = "".join(article)
+    body = {"article": f"<article>{body}</article>", "div": f"<div class='post with-sidebar'>{body}</div>", "sections": f"<div class=wrap><section>{body}</section></div>"}[layout]
+    page = (
+        f"<html><head><title>{sentence(3)}</title></head><body><header><p>{sentence(7)}</p></header><nav><ul>{links}</ul></nav><div class='ad-slot'>{sentence(9)}</div>{body}"
+        f"<section id=comments>{notes}</section><aside><p>{sentence(12)}</p></aside><form><p>{sentence(6)}</p></form><div class=cookie-notice><p>{sentence(11)}</p></div><footer>{sentence(8)}</footer></body></html>"
+    )
+    return page, "\n".join(blocks)
+
+
+def test_generated_pages_and_the_threshold(prose):
+    r = random.Random(4)
+    n = iter(range(10**6))
+    sentence = lambda k: " ".join(prose(k, next(n))).capitalize().replace(" ", ", ", 1) + "."
+    pages = [generated_page(r, sentence, layout) for layout in ("article", "div", "sections") for _ in range(40)]
+    assert [TP.extract(page) for page, _ in pages] == [text for _, text in pages]
+    # the threshold decides: nothing reaches more than the best path, and at 0 the furniture comes too
+    assert all(TP.extract(page, TP.PathParams(cut=1.01)) == "" for page, _ in pages)
+    assert all(len(TP.extract(page, TP.PathParams(cut=0.0))) > len(text) for page, text in pages)
+    cells = "<article><p>" + " ".join(sentence(12) for _ in range(4)) + "</p><table>" + "<tr><td>1</td><td>2</td><td>3</td></tr>" * 60 + "</table></article>"
+    assert TP.extract(cells).endswith("\n3") and not TP.extract(cells, TP.PathParams(cut=0.6)).endswith("\n3")
+
+
+def test_path_scores_match_their_definition():
+    r, p = random.Random(8), TP.PathParams()
+    nodes = [(r.randrange(5), r.choice((0, 1, 8, 60, 400)), r.randrange(6)) for _ in range(60)]
+    g = lambda d: math.exp(-d * d / (2 * p.sigma**2)) if abs(d) <= p.radius else 0.0
+    fused = {}
+    for k in {x[0] for x in nodes}:
+        own = [x for x in nodes if x[0] == k]
+        fused[k] = math.log(1 + sum(x[1] for x in own) / len(own)) * (1 + math.log(1 + sum(x[2] for x in own) / len(own)))
+    smooth = [sum(g(i - j) * fused[y[0]] for j, y in enumerate(nodes)) / sum(g(i - j) for j in range(len(nodes))) for i in range(len(nodes))]
+    got = TP.path_scores(nodes, p)
+    for k in fused:
+        own = [s for s, x in zip(smooth, nodes, strict=True) if x[0] == k]
+        assert abs(got[k] - min(sum(own) / len(own), p.lift * fused[k])) < 1e-9
+
+
+@pytest.mark.parametrize("wrapper", ['class="layout with-sidebar"', 'class="content no-sidebar"', 'class="legal-opinion"', 'id="related-work"', 'title="the hidden cost of trade"', "class=related"])
+def test_wrappers_named_like_furniture(wrapper):
+    own = "<h1>The case</h1><p>A long text, with points. And more of it, yes.</p><p>Second text, with more points. It ends.</p>"
+    want = "The case\nA long text, with points. And more of it, yes.\nSecond text, with more points. It ends."
+    for inner in (own, f"<article>{own}</article>"):
+        assert TP.extract(f'<body><div {wrapper}>{inner}<div class="comments"><p>No, not at all. I say.</p></div></div></body>') == want
+    assert TP.extract("<body><div hidden><p>Not shown, at all. Never.</p></div><p>Shown, of course. Yes.</p></body>") == "Shown, of course. Yes."
+
+
+def test_an_articles_own_header_and_open_ends():
+    page = "<article><header><h1>Head</h1><p>A standfirst, of some length.</p></header><p>Body text, which goes on. And on.</p></article>"
+    assert TP.extract(page) == "Head\nA standfirst, of some length.\nBody text, which goes on. And on."
+    assert TP.extract("<p>Text, so far. Yes.</p><!-- open, end. ") == "Text, so far. Yes."
+    assert TP.extract("<p>1 < 2, or so. And 3 <") == "1 < 2, or so. And 3 <"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    t = time.process_time()
+    for page in ("<b>x" * 60_000 + "</i>" * 60_000, "<div>x" * 60_000, "<li><ul>" + "<b>" * 60_000 + "<li></li>" * 60_000, "<a <b " * 60_000):
+        TP.extract(page)
+    assert time.process_time() - t < 20
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<p>a, b.</p>", "x"), (None, None, None, "y"), (1, "u", "<p>a, b.</p>", "x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
