@@ -32,7 +32,9 @@ class SketchParams:
     bands * band_size registers. A pair at the threshold of 85 is missed by all 25 bands of 5 registers
     with a probability of 4e-7. A pair whose likelihood estimate is more than ``margin`` (over six standard
     deviations) below the threshold is not compared in full. A task compares groups of up to
-    ``task_shingles``; a larger group is compared in pairs of parts.
+    ``task_shingles``. In a larger group all members are first compared with a few leaders (``star_rounds``),
+    which is linear in the group; what is then not joined yet is compared within each band value, in pairs
+    of parts where one is still too large. Whatever the size, the pairs that share a band are linked, and no others.
     """
 
     shingle: int = 5
@@ -42,7 +44,8 @@ class SketchParams:
     base: float = 1.001
     rate: float = 20.0
     margin: float = 0.22
-    task_shingles: int = 4_000_000
+    task_shingles: int = 1_000_000
+    star_rounds: int = 2
 
     @property
     def m(self) -> int:
@@ -94,46 +97,48 @@ def estimate_jaccard(one: np.ndarray, n_one: int, others: np.ndarray, n_others:
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], 1)[:, 0]
 
 
+def band_keys(regs: np.ndarray, p: SketchParams) -> np.ndarray:
+    """One 64-bit key a band for each row of registers; keys of different bands differ."""
+    k = regs.astype(np.uint64).reshape(len(regs), p.bands, p.band_size)
+    acc = np.tile(np.arange(1, p.bands + 1, dtype=np.uint64), (len(regs), 1))
+    for c in range(p.band_size):
+        acc = scramble(acc * np.uint64(65599) + k[:, :, c])
+    return acc
+
+
 def _sketch_batches(p: SketchParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(1, p.bands + 1, dtype=np.uint64)
         for batch in batches:
             n, h1, h2, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, p.shingle)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64)))
                 h2.append(int(np.bitwise_xor.reduce(scramble(s + np.uint64(1)))) if len(s) else 0)
-                if len(s):
-                    k = registers(s, p).astype(np.uint64).reshape(p.bands, p.band_size)
-                    acc = salt.copy()
-                    for c in range(p.band_size):
-                        acc = scramble(acc * np.uint64(65599) + k[:, c])
-                    bands.append(acc.view(np.int64))
-                else:
-                    bands.append(np.empty(0, np.int64))
+                bands.append(band_keys(registers(s, p)[None], p)[0].view(np.int64) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "h1", "h2", "bands"],
+                names=["id", "t", "n", "h1", "h2", "bands"],
             )
 
     return run
 
 
-def link_group(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None, p: SketchParams) -> np.ndarray:
-    """For each member the smallest id of its component, all pairs considered (of different parts, if parts are given).
+def link_group(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None, p: SketchParams, known: np.ndarray | None = None) -> np.ndarray:
+    """For each member the smallest id of its component, over all pairs that share a band (and are of different parts, if parts are given).
 
-    Pairs already in one component need no comparison, so a group around a common original costs about
-    one comparison a member.
+    ``known`` is the component that a member belongs to already. Pairs already in one component need
+    no comparison, so a group around a common original costs about one comparison a member.
     """
     s = len(ids)
-    comp = ids.copy()
+    comp = (ids if known is None else known).copy()
     if s < 2:
         return comp
     n = np.array([len(x) for x in sets])
@@ -142,6 +147,7 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None,
     ends = np.cumsum(n)
     starts = ends - n
     regs = np.stack([registers(x, p) for x in sets])
+    keys = band_keys(regs, p)
     # most central first: agreement with the commonest value of each register
     if s > 2:
         agree = np.zeros(s, np.int64)
@@ -160,6 +166,7 @@ def link_group(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None,
         if part is not None:
             cand &= part != part[i]
         c = np.flatnonzero(cand)
+        c = c[(keys[c] == keys[i]).any(axis=1)]
         if not len(c):
             continue
         c = c[estimate_jaccard(regs[i], n[i], regs[c], n[c], p) >= low]
@@ -185,73 +192,159 @@ def _link_groups(p: SketchParams):
         out = []
         for _, g in pdf.groupby("grp", sort=False):
             sets = [shingle_set(t, p.shingle) for t in g["text"]]
-            ids = g["id"].to_numpy()
-            comp = link_group(ids, sets, g["part"].to_numpy() if cross else None, p)
-            moved = comp != ids
-            out.append(pd.DataFrame({"a": ids[moved], "b": comp[moved]}))
+            known = g["comp"].to_numpy()
+            comp = link_group(g["node"].to_numpy(), sets, g["part"].to_numpy() if cross else None, p, known)
+            out.append(pd.DataFrame({"a": known, "b": comp})[known != comp].drop_duplicates())
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SketchParams | None = None) -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, kept), ids being integers.
+def _link_stars(p: SketchParams):
+    """Compares the members of a star with its leader alone."""
 
-    Null and empty texts, and texts without words, have no shingles and link to nothing. Texts with equal
-    shingle sets are one node, whatever their number; rows that repeat an id are classed by their
-    own texts. A row with a null id is matched as an exact copy only: its component is that of
-    the copies that have ids, else null; it is kept if its component is null. Only the id and text columns are read.
-    """
-    p = params or SketchParams()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketched = reliable_checkpoint(rows.mapInArrow(_sketch_batches(p), "id long, n long, h1 long, h2 long, bands array<long>"))
-    # equal sets collapse before anything is compared
-    classes = reliable_checkpoint(
-        sketched.filter("n > 0 AND id IS NOT NULL")
-        .groupBy("h1", "h2")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lead, g in pdf.groupby("lead", sort=False):
+            first = g["node"].to_numpy() == lead
+            own = shingle_set(g["text"][first].iloc[0], p.shingle)
+            for node, text in zip(g["node"][~first], g["text"][~first], strict=True):
+                s = shingle_set(text, p.shingle)
+                inter = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * inter >= p.threshold_pct * (len(own) + len(s) - inter):
+                    out.append((node, lead))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _joined(big: DataFrame, links: DataFrame) -> DataFrame:
+    """``big`` with the component of each node under these links as ``comp``."""
+    comps = connected_components(links)
+    return reliable_checkpoint(big.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+
+
+def _open_cells(big: DataFrame) -> DataFrame:
+    """(cell, node, n, comp) of the band values that hold nodes of two components or more."""
+    cells = big.select("node", "n", "comp", F.explode("cells").alias("cell"))
+    still = cells.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).filter("lo <> hi")
+    return cells.join(still.select("cell", "total"), "cell")
+
+
+def _links_of_large_groups(big: DataFrame, texts: DataFrame, p: SketchParams) -> DataFrame:
+    """Links among ``big`` (node, n, h1, h2, cells), members of groups beyond ``task_shingles``; ``texts`` is (h1, h2, text), one row a set."""
+    big = reliable_checkpoint(big.withColumn("comp", F.col("node")))
+    links = None
+    for r in range(p.star_rounds):
+        open_ = _open_cells(big)
+        leads = open_.groupBy("cell").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("lead"), F.min_by("comp", F.xxhash64("node", F.lit(r))).alias("lead_comp"))
+        # every node meets one leader a round
+        met = open_.join(leads, "cell").filter("comp <> lead_comp").groupBy("node").agg(F.min_by("lead", F.xxhash64("lead", F.lit(r))).alias("lead"), F.first("n").alias("n"))
+        met = reliable_checkpoint(met)
+        size = met.groupBy("lead").agg(F.ceil(F.sum("n") / p.task_shingles).cast("int").alias("parts"))
+        rows = met.join(size, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+        heads = size.select(F.col("lead").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        with_text = rows.union(heads).join(big.select("node", "h1", "h2"), "node").join(texts, ["h1", "h2"])
+        found = reliable_checkpoint(with_text.groupBy("lead", "part").applyInPandas(_link_stars(p), "a long, b long"))
+        links = found if links is None else links.union(found)
+        big = _joined(big, links)
+    open_ = reliable_checkpoint(_open_cells(big).withColumn("parts", F.ceil(F.col("total") / p.task_shingles).cast("int")))
+    placed = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = placed.join(big.select("node", "h1", "h2"), "node").join(texts, ["h1", "h2"]).select(
+        "node", "text", "comp", F.col("cell").alias("grp"), "part", F.col("cell").alias("bin"), F.least("part", "with").alias("p1"), F.greatest("part", "with").alias("p2")
     )
-    cells = classes.select("rep", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").select("cell", "lead")
-    stars = cells.join(shared, "cell").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = connected_components(stars)
-    sized = classes.select("rep", "n", "h1", "h2").join(groups, F.col("rep") == F.col("node")).select("rep", "n", "h1", "h2", F.col("component").alias("grp"))
-    sized = reliable_checkpoint(sized)
+    found = met.groupBy("bin", "p1", "p2").applyInPandas(_link_groups(p), "a long, b long")
+    return found if links is None else links.union(found)
+
+
+def _set_classes(docs: DataFrame, id_col: str, text_col: str, p: SketchParams) -> tuple[DataFrame, DataFrame]:
+    """Rows as (id, t, n, h1, h2), t being the text's hash; and of the sets in which something is to merge
+    (h1, h2, comp, least), comp naming the class and ``least`` being the smallest id in it."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("text"))
+    sketched = reliable_checkpoint(rows.mapInArrow(_sketch_batches(p), "id long, t long, n long, h1 long, h2 long, bands array<long>"))
+    # equal sets collapse before anything is compared
+    classes = (
+        sketched.filter("n > 0").groupBy("h1", "h2")
+        .agg(F.min("id").alias("rep"), F.min_by("t", F.struct(F.col("id").isNull(), "id", "t")).alias("rep_t"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    )
+    classes = reliable_checkpoint(classes)
+    # a set is named by its smallest id; where that names two sets (repeated ids) or none (null ids), by its hash
+    twice = reliable_checkpoint(classes.filter("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep"))
+    n_twice = twice.count()
+    own = F.coalesce("rep", F.xxhash64("h1", "h2"))
+    if n_twice:
+        t = twice.withColumn("twice", F.lit(True))
+        classes = classes.join(F.broadcast(t) if n_twice <= BROADCAST_ROWS else t, "rep", "left")
+        own = F.when(F.col("twice"), F.xxhash64("h1", "h2")).otherwise(own)
+    classes = classes.withColumn("node", own)
+    cells = classes.select("node", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("cell", "lead")
+    stars = cells.join(shared, "cell").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    groups = connected_components(stars).withColumnRenamed("component", "grp")
+    sized = reliable_checkpoint(classes.join(groups, "node").select("node", "rep", "rep_t", "n", "h1", "h2", "bands", "grp"))
     totals = sized.groupBy("grp").agg(F.sum("n").alias("total"))
-    t = totals.agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("total") <= p.task_shingles, F.col("total"))).alias("small"), F.sum(F.lit(1)).alias("g")).first()
-    bins = max(1, math.ceil((t["small"] or 0) / (p.task_shingles / 8)))
-    parts = F.ceil(F.col("total") / p.task_shingles).cast("int")
-    # a group beyond the bound is cut into parts, and every pair of parts meets in a task of its own
-    members = sized.join(totals, "grp").select(
-        F.col("rep"), "h1", "h2", "grp", parts.alias("parts"),
-        F.when(parts > 1, -1 - F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins))).alias("bin"),
-        F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"),
-    )
+    t = totals.agg(F.sum(F.when(F.col("total") <= p.task_shingles, F.col("total"))).alias("small"), F.sum((F.col("total") > p.task_shingles).cast("int")).alias("large")).first()
+    bins = max(1, math.ceil((t["small"] or 0) / (p.task_shingles / 2)))
+    members = sized.join(totals, "grp")
     n_members = sized.count()
-    keyed = rows.filter("id IS NOT NULL")
-    texts = keyed.join(F.broadcast(members) if n_members <= BROADCAST_ROWS else members, F.col("id") == F.col("rep"))
-    met = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "id", "text", "grp", "part", "bin", F.least("part", "with").alias("p1"), F.greatest("part", "with").alias("p2")
-    )
+    # one text a set: that of its first row
+    key = members.select("h1", "h2", "rep", "rep_t", "node", "grp", "total")
+    wanted = F.broadcast(key) if n_members <= BROADCAST_ROWS else key
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("rep_t")))
+    small = texts.filter(F.col("total") <= p.task_shingles).dropDuplicates(["node"])
+    met = small.select("node", "text", F.col("node").alias("comp"), F.lit(0).alias("part"), "grp", F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("bin"), F.lit(0).alias("p1"), F.lit(0).alias("p2"))
     links = met.groupBy("bin", "p1", "p2").applyInPandas(_link_groups(p), "a long, b long")
+    if t["large"]:
+        big = members.filter(F.col("total") > p.task_shingles).withColumnRenamed("bands", "cells").select("node", "n", "h1", "h2", "cells")
+        large = reliable_checkpoint(texts.filter(F.col("total") > p.task_shingles).dropDuplicates(["node"]).select("h1", "h2", "text"))
+        links = links.union(_links_of_large_groups(big, large, p))
     comps = connected_components(links)
-    named = (
-        classes.select("h1", "h2", "rep", "copies")
-        .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("h1", "h2", "copies", "rep", F.coalesce("component", "rep").alias("comp"))
-        .filter("copies > 1 OR comp <> rep")
-        .select("h1", "h2", "comp")
+    named = reliable_checkpoint(
+        classes.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).filter("copies > 1 OR component IS NOT NULL").select("h1", "h2", "rep", "comp")
     )
-    every = sketched.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    return sketched.select("id", "t", "n", "h1", "h2"), named.drop("rep").join(least, "comp")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SketchParams | None = None) -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, kept), ids being integers.
+
+    Null and empty texts, and texts without words, have no shingles and link to nothing. Texts with equal
+    shingle sets are one node, whatever their number; rows that repeat an id are classed by their
+    own texts. Rows with null ids take part: their component is the smallest id in reach, null if there is none, and
+    they are kept only in the latter case. An empty table gives an empty result. Only the id and text columns are read.
+    """
+    p = params or SketchParams()
+    sketched, named = _set_classes(docs, id_col, text_col, p)
+    every = sketched.join(named.select("h1", "h2", "least"), ["h1", "h2"], "left")
+    comp = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
     return every.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept")
     )
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SketchParams | None = None) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate class (the one of the smallest id), own columns only."""
-    classes = near_duplicate_classes(docs, id_col, text_col, params)
-    gone = reliable_checkpoint(classes.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct())
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each near-duplicate class, own columns only: the one of the smallest id (null ids last,
+    then the smallest text hash).
+
+    Rows are told apart by id and text, so a repeated id costs no other text. Of rows that agree in both
+    one stays (which of them is not defined). Rows without words belong to no class and all stay, as
+    do null texts; an empty table gives an empty result.
+    """
+    sketched, named = _set_classes(docs, id_col, text_col, params or SketchParams())
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t"))
+    rows = reliable_checkpoint(sketched.filter("n > 0").join(named.select("h1", "h2", "comp"), ["h1", "h2"]).select("comp", order.alias("key")))
+    first = rows.groupBy("comp").agg(F.min("key").alias("first"))
+    marked = rows.join(first, "comp").groupBy("key").agg(F.first(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    marked = reliable_checkpoint(marked.filter("NOT stays OR rows > 1").select(F.col("key.id").alias("__dup_id"), F.col("key.t").alias("__dup_t"), "stays"))
+    n = marked.count()
+    if not n:
+        return docs
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__dup_key": F.col(id_col).cast("long"), "__dup_hash": F.xxhash64(F.col(text_col))})
+    met = keyed.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, F.col("__dup_key").eqNullSafe(F.col("__dup_id")) & (F.col("__dup_hash") == F.col("__dup_t")), "left")
+    alone = met.filter("stays IS NULL").select(*names)
+    if marked.filter("stays").isEmpty():
+        return alone
+    return alone.union(met.filter("stays").dropDuplicates(["__dup_key", "__dup_hash"]).select(*names))

@@ -58,9 +58,27 @@ def test_classes_match_brute_force(make, prose):
 def test_groups_cut_into_parts_lose_no_link(make, prose):
     t = copies(prose)
     whole = SS.near_duplicate_classes(make(t), params=SS.SketchParams(shingle=3, threshold_pct=85))
-    parts = SS.near_duplicate_classes(make(t), params=SS.SketchParams(shingle=3, threshold_pct=85, task_shingles=700))
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(whole) == key(parts)
+    want = key(whole)
+    for rounds in (0, 2):
+        parts = SS.near_duplicate_classes(make(t), params=SS.SketchParams(shingle=3, threshold_pct=85, task_shingles=700, star_rounds=rounds))
+        assert key(parts) == want
+
+
+def test_repeated_ids_lose_no_text_and_repeated_rows_go(make, prose, monkeypatch):
+    a, b, c = (" ".join(prose(60, 4000 + i)) for i in range(3))
+    d = make([a, a + " tail", b, c, c, c, None, None, "", a, b + " end", c], ids=[3, 5, 5, 7, 7, 7, 8, 8, 9, None, 6, None])
+    for rows in (SS.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(SS, "BROADCAST_ROWS", rows)
+        kept = SS.keep_one_per_class(d)
+        assert kept.columns == d.columns
+        assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(3, a), (5, b), (7, c), (8, ""), (8, ""), (9, "")])
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in SS.near_duplicate_classes(d).collect()}
+    assert {(5, 57, 3), (5, 56, 5), (6, 57, 5), (None, 56, 3), (None, 56, 7)} <= got
+    nobody = make([a, a + " tail", a], ids=[None, None, None])
+    assert SS.keep_one_per_class(nobody).count() == 1
+    assert {(r["component_id"], r["kept"]) for r in SS.near_duplicate_classes(nobody).collect()} == {(None, True)}
+    assert SS.keep_one_per_class(make([])).count() == 0
 
 
 def test_null_ids_repeats_and_empty_tables(make, prose):
