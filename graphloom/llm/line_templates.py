@@ -1,9 +1,9 @@
 """Line dedup by a log-template tree.
 
 A line's variable fields (tokens with digits, addresses) become wildcards; the tree of fixed depth sends it to
-a leaf by its token count and leading tokens; in a leaf, lines that agree in most positions share a
-template, of which the other positions are wildcards. Templates that recur in enough documents are
-boilerplate, and their lines are dropped from every document.
+a leaf by its token count and leading tokens; in a leaf, tokens that stand in few documents at their
+position become wildcards too, and lines that then are equal share a template. Templates that recur in
+enough documents are boilerplate, and their lines are dropped from every document.
 """
 
 from __future__ import annotations
@@ -12,39 +12,35 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import BROADCAST_ROWS
-from graphloom.llm.hashing import word_hashes
 from graphloom.session import reliable_checkpoint
 
 _FIELD = re.compile(r"\S*(?:\d|@|://)\S*")
 #: Occurs in every line that has a field, and is quickly seen not to occur in the others.
 _HINT = re.compile(r"[\d@]|://")
 WILD = "<*>"
-_WILD = np.uint64(0)
 
 
 @dataclass(frozen=True)
 class TemplateParams:
-    """depth: leading tokens in the tree; similarity: least share of equal positions within a template;
-    min_docs: documents in which a template recurs; min_tokens: lines of fewer are templates of their own, compared
-    as they stand; short_docs: documents in which such a line of under short_chars characters recurs;
-    leaf_lines: different lines that are clustered in one go (a leaf with more is clustered in parts, and then its
-    parts' templates are)."""
+    """depth: leading tokens in the tree; similarity: least share of a template's positions that are no wildcards of
+    its own; min_docs: documents in which a template recurs, and in which a token must stand at its position to be
+    part of one; step: a leaf's templates are looked for at min_docs, step * min_docs, step**2 * min_docs and so on
+    (a field of few values is found variable at a higher one); min_tokens: lines of fewer are templates of their
+    own, compared as they stand; short_docs: documents in which such a line of under short_chars characters recurs."""
 
     depth: int = 3
     similarity: float = 0.7
     min_docs: int = 3
+    step: int = 4
     min_tokens: int = 4
     short_docs: int = 10
     short_chars: int = 20
-    leaf_lines: int = 4096
 
 
 def parse_line(line: str, p: TemplateParams) -> tuple[int, int, list[str]] | None:
@@ -66,38 +62,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def token_row(tokens: list[str]) -> np.ndarray:
-    h = word_hashes([t.encode("utf-8", "surrogatepass") for t in tokens])
-    h[[t == WILD for t in tokens]] = _WILD
-    return h
-
-
-def cluster(rows: np.ndarray, p: TemplateParams) -> tuple[np.ndarray, np.ndarray]:
-    """Templates of equally long rows of token hashes: (template of each row, templates).
-
-    Rows are taken in the given order; each joins the most similar template with at least ``similarity`` of its
-    positions equal (a wildcard equals a wildcard), the first on ties, which then gets wildcards where
-    they differ; else it starts a template.
-    """
-    n, width = rows.shape
-    made = np.empty((0, width), np.uint64)
-    of, k = np.empty(n, np.int64), 0
-    for i in range(n):
-        if k:
-            same = (made[:k] == rows[i]).sum(axis=1)
-            j = int(same.argmax())
-            if same[j] >= p.similarity * width:
-                made[j][made[j] != rows[i]] = _WILD
-                of[i] = j
-                continue
-        if k == len(made):
-            made = np.concatenate([made, np.empty((max(4, k), width), np.uint64)])
-        made[k] = rows[i]
-        of[i] = k
-        k += 1
-    return of, made[:k]
-
-
 def _lines(p: TemplateParams, with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,31 +85,27 @@ def _lines(p: TemplateParams, with_tokens: bool):
     return run
 
 
-def _cluster_part(p: TemplateParams):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for leaf, g in pdf.groupby("leaf", sort=False):
-            g = g.sort_values("mask", kind="stable")
-            rows = np.stack([token_row(x.split(" ")) for x in g["line"]])
-            of, made = cluster(rows, p)
-            keys = np.array([_signed(xxhash.xxh3_64_intdigest(m.tobytes())) for m in made], np.int64)
-            out.append(pd.DataFrame({"leaf": leaf, "mask": g["mask"].to_numpy(), "part_template": keys[of], "shape": [made[j].tobytes() for j in of]}))
-        return pd.concat(out)
+def line_templates(lines: DataFrame, p: TemplateParams) -> DataFrame:
+    """(leaf, mask, template) for the templates that a line fits; ``lines`` is (leaf, mask, line, docs), one row a masked line.
 
-    return run
-
-
-def _cluster_shapes(p: TemplateParams):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for leaf, g in pdf.groupby("leaf", sort=False):
-            g = g.sort_values("part_template", kind="stable")
-            of, made = cluster(np.stack([np.frombuffer(x, np.uint64) for x in g["shape"]]), p)
-            keys = np.array([_signed(xxhash.xxh3_64_intdigest(m.tobytes())) for m in made], np.int64)
-            out.append(pd.DataFrame({"leaf": leaf, "part_template": g["part_template"].to_numpy(), "template": keys[of]}))
-        return pd.concat(out)
-
-    return run
+    At each support of the ladder a line's template keeps the tokens that stand at their position in so many
+    documents' lines of the leaf (the leading tokens always do). Counting by leaf, position and token is combined before the
+    shuffle, so a leaf of any size is no task's alone, and what a line's templates are depends on no order.
+    """
+    tokens = F.split("line", " ")
+    rest = lines.select("leaf", "mask", "docs", F.posexplode(F.slice(tokens, p.depth + 1, F.size(tokens))).alias("pos", "token"))
+    often = reliable_checkpoint(rest.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= p.min_docs))
+    n = often.count()
+    known = rest.drop("docs").join(F.broadcast(often) if n <= BROADCAST_ROWS else often, ["leaf", "pos", "token"], "left")
+    # steps of the ladder that a token's support reaches; -1: none
+    level = F.coalesce(F.floor(F.log(F.col("support") / p.min_docs + 1e-9) / F.log(F.lit(float(p.step)))), F.lit(-1)).cast("int")
+    shapes = known.groupBy("leaf", "mask").agg(F.sort_array(F.collect_list(F.struct("pos", level.alias("level"), "token"))).alias("at"))
+    shapes = shapes.withColumn("step", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.array_max(F.transform("at", lambda x: x["level"]))))))
+    fixed = F.transform("at", lambda x: F.when(x["level"] >= F.col("step"), x["token"]))
+    kept = F.size(F.filter(fixed, lambda x: x.isNotNull())) + p.depth
+    shaped = shapes.filter(kept >= p.similarity * (F.size("at") + p.depth))
+    # a wildcard is told apart from every token
+    return shaped.select("leaf", "mask", F.xxhash64("step", F.transform(fixed, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("")))).alias("template"))
 
 
 def recurring_lines(keyed: DataFrame, bare: DataFrame, p: TemplateParams) -> DataFrame:
@@ -157,22 +117,13 @@ def recurring_lines(keyed: DataFrame, bare: DataFrame, p: TemplateParams) -> Dat
     counted = reliable_checkpoint(counted)
     known = counted.filter(F.col("docs") >= least)
     # lines that do not recur as they are may recur as a template with others of their leaf
-    shared = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    shared = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("leaf")
     n_shared = shared.count()
     if not n_shared:
         return known.select("leaf", "mask")
-    small = n_shared <= BROADCAST_ROWS
-    s = shared.select("leaf", F.ceil(F.col("lines") / p.leaf_lines).cast("int").alias("parts"))
-    lines = keyed.mapInArrow(_lines(p, True), "doc long, leaf long, mask long, line string").join(F.broadcast(s) if small else s, "leaf")
-    one = lines.groupBy("leaf", "mask").agg(F.first("line").alias("line"), F.first("parts").alias("parts"))
-    # small leaves share a task: its key is a hash of leaf and part
-    spread = F.when(F.col("parts") > 1, F.xxhash64("leaf", F.pmod(F.xxhash64("mask"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("leaf"), F.lit(2048)))
-    first = reliable_checkpoint(
-        one.withColumn("bin", spread).groupBy("bin").applyInPandas(_cluster_part(p), "leaf long, mask long, part_template long, shape binary")
-    )
-    shapes = first.select("leaf", "part_template", "shape").dropDuplicates(["leaf", "part_template"]).withColumn("bin", F.pmod(F.xxhash64("leaf"), F.lit(2048)))
-    second = shapes.groupBy("bin").applyInPandas(_cluster_shapes(p), "leaf long, part_template long, template long")
-    named = reliable_checkpoint(first.select("leaf", "mask", "part_template").join(second, ["leaf", "part_template"]).select("leaf", "mask", "template"))
+    lines = keyed.mapInArrow(_lines(p, True), "doc long, leaf long, mask long, line string").join(F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared, "leaf")
+    one = lines.groupBy("leaf", "mask").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("docs"))
+    named = reliable_checkpoint(line_templates(reliable_checkpoint(one), p))
     docs = bare.join(named, ["leaf", "mask"]).select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
     often = named.join(docs.filter(F.col("docs") >= least), ["leaf", "template"]).select("leaf", "mask")
     return known.select("leaf", "mask").union(often).distinct()
