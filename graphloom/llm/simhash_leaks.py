@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.hashing import scramble, shingle_hashes, word_hashes
+from graphloom.session import reliable_checkpoint
 
 _WORD = re.compile(r"[^\W_]+")
 _GATE_BITS = 20
@@ -30,7 +31,8 @@ _GATE_BITS = 20
 class LeakParams:
     """blocks of 16 bits make a fingerprint; the index holds all block values within ``flips`` bits, so every
     fingerprint within blocks * (flips + 1) - 1 bits is found. items_per_pass bounds what a pass over the
-    documents carries; a larger benchmark takes more passes.
+    documents carries; a larger benchmark takes more passes. Shingle weights are those of the whole benchmark,
+    so the number of passes changes no result.
     """
 
     shingle: int = 5
@@ -65,15 +67,20 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 class LeakIndex:
     """Items with their shingle weights and the neighbourhood index of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str | None]], p: LeakParams):
+    def __init__(self, items: list[tuple[int, str | None]], p: LeakParams, n_items: int | None = None, common: dict[int, int] | None = None):
+        """``n_items`` and ``common`` tell how many items the whole benchmark has and in how many of them
+        shingles stand that more than one has; without them ``items`` are the whole benchmark."""
         self.p = p
         kept = [(i, h) for i, h in ((i, word_hashes(words_of(t))) for i, t in items) if len(h)]
         self.ids = [i for i, _ in kept]
         self.length = np.array([len(h) for _, h in kept], np.int64)
         grams = [shingle_hashes(h, p.shingle) for _, h in kept]
         df = Counter(g for x in grams for g in np.unique(x).tolist())
+        if n_items is not None:
+            df = {g: (common or {}).get(g, 1) for g in df}
         # rare shingles weigh more; one that no item has weighs as the rarest
-        weigh = lambda c: float(np.log1p((1 + len(kept)) / c))
+        n_all = len(kept) if n_items is None else n_items
+        weigh = lambda c: float(np.log1p((1 + n_all) / c))
         self.top = weigh(1)
         self.table = np.array(sorted(df), np.uint64)
         self.table_weight = np.array([weigh(df[g]) for g in self.table.tolist()])
@@ -181,34 +188,55 @@ class LeakIndex:
 _INDEXES: dict = {}
 
 
-def _index_of(items: tuple, p: LeakParams) -> LeakIndex:
+def _index_of(block: tuple, p: LeakParams) -> LeakIndex:
     """Built once in each worker process."""
-    key = (hash(items), p)
+    key = (hash(block), p)
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = LeakIndex(list(items), p)
+        n_items, items = block
+        _INDEXES[key] = LeakIndex([(i, t) for i, t, _ in items], p, n_items, {g: c for *_, common in items for g, c in common})
     return _INDEXES[key]
 
 
+def _shingles_of_items(p: LeakParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = []
+            for t in b.column(1).to_pylist():
+                h = word_hashes(words_of(t))
+                grams.append(np.unique(shingle_hashes(h, p.shingle)).view(np.int64) if len(h) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grams, pa.list_(pa.int64()))], names=["item", "text", "grams"])
+
+    return run
+
+
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, p: LeakParams) -> Iterator[tuple]:
-    """The items in blocks of a bounded number; the benchmark is the stated query set and is small beside the documents."""
+    """The items in blocks of a bounded number, (items with words in all, ((id, text, ((shingle, items that have it), ...)), ...));
+    the benchmark is the stated query set and is small beside the documents. Rows equal in id and text are one item."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    rows = reliable_checkpoint(rows.mapInArrow(_shingles_of_items(p), "item long, text string, grams array<long>"))
+    n_items = rows.filter(F.size("grams") > 0).count()
+    each = rows.select("item", "text", F.explode("grams").alias("gram"))
+    common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = each.join(common, "gram").groupBy("item", "text").agg(F.sort_array(F.collect_list(F.struct("gram", "c"))).alias("shared"))
+    shared = shared.select(F.col("item").alias("i"), F.col("text").alias("t"), "shared")
+    met = rows.join(shared, F.col("item").eqNullSafe(F.col("i")) & F.col("text").eqNullSafe(F.col("t")), "left")
     block = []
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(*benchmark.select(item_col, text_col).columns)
-    for i, t in rows.toLocalIterator():
-        block.append((i, t))
+    for i, t, common_grams in met.select("item", "text", "shared").orderBy("item", "text").toLocalIterator():
+        block.append((i, t, tuple((g & 0xFFFFFFFFFFFFFFFF, c) for g, c in common_grams or ())))
         if len(block) == p.items_per_pass:
-            yield tuple(block)
+            yield n_items, tuple(block)
             block = []
     if block:
-        yield tuple(block)
+        yield n_items, tuple(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", params: LeakParams | None = None) -> DataFrame:
     """One row per document and item found in it: (doc id, item id, similarity, first_word of the best window).
 
     Null and empty texts hold and leak nothing; an item of fewer words than a shingle is one shingle; null ids
-    and repeated rows of documents pass through; a repeated item is found once for each of its rows that has
-    an id of its own; empty tables give an empty result. Texts are searched whole; other columns are not read.
+    and repeated rows of documents pass through; items of equal id and text are one, others are found each by
+    itself; empty tables give an empty result. Texts are searched whole; other columns are not read.
     """
     p = params or LeakParams()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -231,7 +259,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     schema = f"id {kind}, item long, similarity double, first_word long"
     parts = [rows.mapInArrow(search(items), schema) for items in _passes(benchmark, item_col, item_text_col, p)]
-    out = parts[0] if parts else rows.limit(0).mapInArrow(search(()), schema)
+    out = parts[0] if parts else rows.limit(0).mapInArrow(search((0, ())), schema)
     for x in parts[1:]:
         out = out.union(x)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
