@@ -57,9 +57,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_temperature_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.temperature_mix import mix_plan
+    from graphloom.llm.temperature_mix import MixParams, mix_plan
 
-    return mix_plan(table(spark, sf_dir, "documents"))
+    # near uniform weights, as far as no document is seen more than twice
+    return mix_plan(table(spark, sf_dir, "documents"), params=MixParams(target_entropy=0.9999))
 
 
 @_query("op9_sampled_splitters")

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -130,8 +131,6 @@ def test_mix_meets_repeat_limit_and_weights(make, prose):
 
 
 def test_mix_target_entropy_is_met_by_bisection(spark):
-    import math
-
     rows = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 1000)], "source string, n long")
     w, a, k, _ = TM.source_weights(rows, "source", "n", TM.MixParams(target_entropy=0.9, max_repeat=100))
     ws = [r["weight"] for r in w.collect()]
@@ -139,6 +138,69 @@ def test_mix_target_entropy_is_met_by_bisection(spark):
     assert abs(sum(ws) - 1) < 1e-9
 
 
+def test_mix_matches_brute_force(spark, make, prose):
+    """Copies by the definition: whole passes, and in each block of the permutation one more as far as the budget goes."""
+    t = [" ".join(prose(5 + i % 50, i)) for i in range(500)] + [None, ""]
+    src = [f"s{min(i % 7, i % 3)}" for i in range(500)] + [None, "s1"]
+    p = TM.MixParams(target_entropy=0.995, max_repeat=4, block_docs=40)
+    d = make(t, sources=src)
+    rows = d.selectExpr("doc_id", "source", "text", "xxhash64(cast(doc_id as string), coalesce(text, '')) as k").selectExpr(
+        "*", f"xxhash64(k, {p.seed}) as b", f"xxhash64(k, {p.seed + 1}) as o"
+    ).collect()
+    tokens = {s: sum(len((x or "").split()) for x, y in zip(t, src, strict=True) if y == s) for s in set(src)}
+    live = {s: n for s, n in tokens.items() if n}
+    share = {s: n / sum(live.values()) for s, n in live.items()}
+
+    def weights(a):
+        z = sum(x**a for x in share.values())
+        return {s: x**a / z for s, x in share.items()}
+
+    fits = lambda a: (
+        (max(live.values()) / min(live.values())) ** (1 - a) <= p.max_repeat
+        and -sum(w * math.log(w) for w in weights(a).values()) <= p.target_entropy * math.log(len(live))
+    )
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        lo, hi = (lo, (lo + hi) / 2) if fits((lo + hi) / 2) else ((lo + hi) / 2, hi)
+    w = weights(hi)
+    assert 0 < hi < 1
+    budget = max(live[s] / w[s] for s in live)
+    want = {}
+    for s in set(src):
+        own = [r for r in rows if r["source"] == s]
+        repeat = w[s] * budget / live[s] if s in live else 1.0
+        n_blocks = math.ceil(len(own) / p.block_docs)
+        for b in range(n_blocks):
+            block = sorted((r for r in own if r["b"] % n_blocks == b), key=lambda r: r["o"])
+            size, passed = sum(len((r["text"] or "").split()) for r in block), 0
+            for r in block:
+                n = len((r["text"] or "").split())
+                want[r["doc_id"]] = int(repeat + 1e-6) + (repeat % 1 > 1e-6 and passed + n / 2 <= (repeat % 1) * size + 1e-3)
+                passed += n
+    got = Counter(r["doc_id"] for r in TM.mix_plan(d, params=p).collect())
+    # the exponent is found to 1e-7, which may move a document at a cutoff
+    assert sum(got[i] != want[i] for i in want) <= 1 and set(got) == set(want)
+    assert Counter(r["doc_id"] for r in TM.mix_documents(d, params=p).collect()) == got
+
+
+def test_mix_spreads_a_hot_repeated_row(make, prose, monkeypatch):
+    hot, other = " ".join(prose(20, 1)), [" ".join(prose(20, 10 + i)) for i in range(400)]
+    d = make([hot] * 600 + other, ids=[7] * 600 + list(range(100, 500)), sources=["a"] * 800 + ["b"] * 200)
+    p = TM.MixParams(target_entropy=1.0, max_repeat=2.5, block_docs=64)
+    for rows in (TM.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(TM, "BROADCAST_ROWS", rows)
+        got = TM.mix_plan(d, params=p).collect()
+        assert max(Counter(r["mix_block"] for r in got).values()) < 150
+        copies = Counter(r["doc_id"] for r in got)
+        assert copies[7] == 600
+        assert abs(sum(copies[i] for i in range(300, 500)) - 500) <= 4  # each of four blocks rounds to whole documents
+    # a third of the hot row's source is asked for once more: a share of the repeats gets the copy
+    d = make([hot] * 600 + other, ids=[7] * 600 + list(range(100, 500)), sources=["b"] * 600 + ["a"] * 400)
+    p = TM.MixParams(budget_tokens=26_000, target_entropy=0.0, block_docs=64)
+    got = Counter(r["doc_id"] for r in TM.mix_plan(d, params=p).collect())
+    assert abs(got[7] - 780) < 60 and set(got) == {7, *range(100, 500)}
+
+
 def test_mix_edge_cases(make):
     assert TM.mix_plan(make([])).count() == 0
     got = TM.mix_plan(make([None, "", "a b", "a b"], ids=[None, 1, 2, 2], sources=[None, None, "s", "s"])).collect()
