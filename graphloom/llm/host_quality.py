@@ -7,6 +7,7 @@ verdict is joined back to its documents.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,8 @@ class QualityParams:
 
     A document breaks a soft rule when it has more than ``max_symbol_pct`` symbols per 100 words,
     more than ``max_dup_line_pct`` repeated lines per 100 lines, or a mean word length outside
-    ``word_len``. A host is rejected when its shrunk failure rate exceeds ``host_reject_rate``; in a
+    ``word_len``. A host is rejected when its shrunk failure rate lies more than ``host_sigmas`` standard deviations of
+    the fitted prior above the prior's mean, or beyond ``host_reject_rate``; in a
     rejected host the soft rules bind, elsewhere they only count towards the host's rate. Clean
     documents of a rejected host are kept. With ``doc_slack`` a document of any host also goes when it breaks a
     soft rule by more than a factor that the host's rate moves: 1 + ``doc_slack`` in a host without failures,
@@ -38,6 +40,7 @@ class QualityParams:
     max_dup_line_pct: int = 30
     word_len: tuple[int, int] = (2, 20)
     host_reject_rate: float = 0.5
+    host_sigmas: float = 2.0
     prior_strength: tuple[float, float] = (2.0, 1000.0)
     doc_slack: float | None = None
 
@@ -145,7 +148,9 @@ def host_verdicts(judged: DataFrame, host: str, base: str, soft: str, p: Quality
     between = max(spread - noise, 1e-12)
     strength = min(max(mean * (1 - mean) / between - 1, p.prior_strength[0]), p.prior_strength[1])
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > p.host_reject_rate), k
+    # the spread of the fitted beta distribution
+    cut = min(p.host_reject_rate, mean + p.host_sigmas * math.sqrt(mean * (1 - mean) / (strength + 1)))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > cut), k
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", params: QualityParams | None = None) -> DataFrame:
@@ -188,7 +193,8 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     rows = _judged(docs.withColumn(m, measures(F.col(text_col))), m, p, "__quality_base", "__quality_soft")
     hosts, k = host_verdicts(rows.select(F.col(host_col).alias("__quality_host"), "__quality_base", "__quality_soft"), "__quality_host", "__quality_base", "__quality_soft", p)
     verdicts = hosts.select(F.col("host").alias("__quality_key"), F.col("host_rate").alias("__quality_rate"), F.col("host_rejected").alias("__quality_bad"))
-    passed = rows.filter(~F.col("__quality_base"))
-    joined = passed.join(F.broadcast(verdicts) if k <= BROADCAST_ROWS else verdicts, F.col(host_col).eqNullSafe(F.col("__quality_key")), "left")
+    joined = rows.join(F.broadcast(verdicts) if k <= BROADCAST_ROWS else verdicts, F.col(host_col).eqNullSafe(F.col("__quality_key")), "left")
     gone = _verdict(F.col(m), p, F.col("__quality_soft"), F.col("__quality_rate"), F.col("__quality_bad"))
-    return joined.filter(~gone).select(*[F.col(f"`{c}`") for c in names])
+    # one number over both verdicts: a condition of its own for the base rule would be pushed below the join and measure the text a second time
+    faults = F.col("__quality_base").cast("int") + gone.cast("int") * F.when(F.col("__quality_rate").isNotNull(), 1).otherwise(0)
+    return joined.filter(faults == 0).select(*[F.col(f"`{c}`") for c in names])

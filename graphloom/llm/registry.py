@@ -41,18 +41,22 @@ h AS (SELECT source, count(*) AS n, sum((base_failed OR soft_failed)::BIGINT)::D
 s AS (SELECT least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS mean, count(*) AS k,
   greatest(sum((f / n) * (f / n)) / count(*) - power(sum(f / n) / count(*), 2), 0) AS spread, sum(1.0 / n) / count(*) AS inv FROM h),
 q AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * inv, 1e-12) - 1, 2.0), 1000.0) AS a FROM s),
-v AS (SELECT source, (f + mean * a) / (n + a) > 0.5 AS host_rejected FROM h, q)
+r AS (SELECT source, (f + mean * a) / (n + a) AS rate, least(0.5, mean + 2.0 * sqrt(mean * (1 - mean) / (a + 1))) AS cut FROM h, q),
+v AS (SELECT source, rate > cut AS host_rejected, 1 + 0.5 * greatest(0.0, 1 - rate / 0.5) AS x FROM r),
+k AS (SELECT j.*, host_rejected, (host_rejected AND soft_failed) OR n_symbols * 100 > n_words * 30 * x OR n_dup_lines * 100 > n_lines * 30 * x
+  OR word_chars * x < n_words * 2 OR word_chars > n_words * 20 * x AS rejected FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, base_failed, soft_failed, host_rejected, NOT base_failed AND NOT (host_rejected AND soft_failed) AS kept
-FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, soft_failed, host_rejected, NOT base_failed AND NOT rejected AS kept
+FROM k
 """
 
 
 @_query("op7_host_quality", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.host_quality import score_documents
+    from graphloom.llm.host_quality import QualityParams, score_documents
 
-    return score_documents(table(spark, sf_dir, "documents")).drop("host_rate")
+    # as in the pipeline, a document of any host goes that breaks a soft rule by far; how far, its host's rate says
+    return score_documents(table(spark, sf_dir, "documents"), params=QualityParams(doc_slack=0.5)).drop("host_rate")
 
 
 @_query("op8_temperature_mix")

@@ -66,6 +66,31 @@ def test_junk_spread_over_hosts_goes_and_clean_documents_stay(spark, make, prose
     assert kept.columns == d.columns and sorted(x["doc_id"] for x in kept.collect()) == [*range(100), 120]
 
 
+def test_rejected_hosts_agree_with_the_sql(spark, make, prose, tmp_path):
+    """Hosts of 40 documents, of which a tenth are junk, but two hosts with half junk: those are rejected, by Spark and by DuckDB alike."""
+    import duckdb
+
+    from graphloom.llm import registry
+
+    docs, hosts = [], []
+    for i in range(800):
+        h = i % 20
+        bad = (i // 20) % (2 if h < 2 else 10) == 0
+        w = prose(60, 9000 + i)
+        # 35 symbols a 100 words: over the soft rule, below what a document of a good host may have
+        docs.append(" ".join(f"{x}#" if bad and (j < 21) else x for j, x in enumerate(w)))
+        hosts.append(f"h{h}" if h else None)
+    make([*docs, None, "short"], sources=[*hosts, None, "h1"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["op7_host_quality"](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.sql(registry.ORACLES["op7_host_quality"]).fetchall())
+    kept = {r[0]: (r[-2], r[-1]) for r in got}
+    for i in range(800):
+        rejected, bad = i % 20 < 2, (i // 20) % (2 if i % 20 < 2 else 10) == 0
+        assert kept[i] == (rejected, not (rejected and bad)), i
+
+
 def test_quality_of_nothing_and_null_hosts(make):
     assert Q.score_documents(make([])).count() == 0
     assert Q.keep_documents(make([])).count() == 0
