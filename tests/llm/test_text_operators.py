@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 
@@ -142,6 +143,45 @@ def test_license_labels():
     assert {f[2] for f in LS.scan("Distributed under the terms of the Mozilla Public License, v. 2.0")["found"]} == {"mpl-2"}
 
 
+def scan_all(text):
+    """Every rule on every text, without gates and keywords, and suppression pair by pair."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    base = [(i, label) for phrase, label in LS.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    line = " ".join(words)
+    found = sorted(((m.start(), m.end(), r) for r in LS.rules() for m in r.pattern.finditer(line)), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+    kept = []
+    for s, e, r in found:
+        if not any(a <= s and e <= b or (a < e and s < b and k.priority > r.priority) for a, b, k in kept):
+            kept.append((s, e, r))
+    return len(words), sorted(base), sorted((line.count(" ", 0, s), line.count(" ", 0, e) + 1, r.label, r.kind) for s, e, r in kept)
+
+
+def test_license_scan_matches_brute_force(prose):
+    r = random.Random(9)
+    cited = ["Apache License, Version 2.0", "the MIT License", "GNU General Public License v3 or later", "LGPL 2.1", "CC BY-NC-SA 4.0", "CC-BY-NC", "BSD-3-Clause", "MPL 2.0", "GNU Affero General Public License"]
+    around = ["Licensed under {}.", "released under the terms of the {} license", "License: {}", "SPDX-License-Identifier: {}", "This work is licensed under {}", "{} licence", "see {}", "under the {} Apache License version 2"]
+    own = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??|\?|\{[^}]*\}", r"\1", x[5]) for x in LS.SIGNATURES]
+    texts = [None, "", "ÀÉ mit", "under the mit license " * 3]
+    for i in range(400):
+        parts = [" ".join(prose(r.randint(0, 6), 40 * i + k)) for k in range(4)]
+        for k in range(3):
+            parts.insert(2 * k + 1, r.choice(own) if r.random() < 0.4 else r.choice(around).format(r.choice(cited)))
+        texts.append(r.choice([" ", "\n", " - "]).join(parts))
+    seen = set()
+    for t in texts:
+        got = LS.scan(t)
+        assert (got["n_words"], sorted(got["base"]), sorted(x[:4] for x in got["found"])) == scan_all(t), t
+        seen |= {x[2] for x in got["found"]}
+    assert len(seen) > 45
+    assert len({x[:3] + x[3:] for x in LS.SIGNATURES}) == len(LS.SIGNATURES) > 110
+
+
+def test_long_texts_dense_with_licenses_take_linear_time():
+    t = time.process_time()
+    got = LS.scan("This file is released under the terms of the MIT License. Licensed under the Apache License, Version 2.0. " * 12_000)
+    assert time.process_time() - t < 40 and len(got["base"]) == 12_000
+
+
 def test_license_phrases_broken_by_line_ends_and_punctuation():
     for sep in (" ", "\n", "  ", "-", ", "):
         assert {f[2] for f in LS.scan(f"All rights{sep}reserved")["found"]} == {"all-rights-reserved"}
