@@ -103,25 +103,29 @@ def held_out(id_col: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, p: FtrlParams) -> list[tuple[np.ndarray, int]]:
-    """Coordinates and labels of labelled rows that are not held out: at most max_train_rows, the ones of the smallest hash."""
-    y = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL").dropDuplicates(["__id"])
-    y = y.filter(~held_out("__id")).withColumn("__rank", F.xxhash64("__id", F.lit(p.seed)))
+    """Coordinates and labels of labelled ids that are not held out: at most max_train_rows ids, the ones of the smallest hash.
+
+    Conflicting labels of an id count as the largest of them; rows that repeat an id are taken in the order of their texts' hashes.
+    """
+    # an id that is labelled more than once has the larger label: toxic if any row says so
+    y = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id IS NOT NULL AND __y IS NOT NULL")
+    y = y.groupBy("__id").agg(F.max("__y").alias("__y")).filter(~held_out("__id")).withColumn("__rank", F.xxhash64("__id", F.lit(p.seed)))
     # chosen among the narrow labels, so that the texts of chosen rows alone are sent on
     chosen = y.orderBy("__rank", "__id").limit(p.max_train_rows)
     got = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t, p) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], names=["r", "f", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t, p) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2), b.column(3)], names=["r", "f", "y", "t"])
 
-    found = got.select("__rank", "__text", "__y").mapInArrow(run, "r long, f array<int>, y int").toArrow()
+    found = got.select("__rank", "__text", "__y", F.xxhash64("__text")).mapInArrow(run, "r long, f array<int>, y int, t long").toArrow()
     # views of the Arrow buffers, put in order by index: the coordinates are held once
     flat: list[np.ndarray] = []
     for chunk in found.column("f").chunks:
         offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
         flat += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     ys = found.column("y").to_pylist()
-    return [(flat[i], ys[i]) for i in np.argsort(found.column("r").to_numpy(), kind="stable")]
+    return [(flat[i], ys[i]) for i in np.lexsort((found.column("t").to_numpy(), found.column("r").to_numpy()))]
 
 
 def score_documents(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

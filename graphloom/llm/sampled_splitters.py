@@ -22,12 +22,15 @@ H, TIE, SIZE = "__shard_h", "__shard_tie", "__shard_size"
 
 @dataclass(frozen=True)
 class ShardParams:
-    """n_ranges: ranges at least; more where rows_per_range asks for it, up to max_ranges (which bounds what the driver holds)."""
+    """n_ranges: ranges at least; more where rows_per_range or bytes_per_range ask for it, up to max_ranges (which bounds
+    what the driver holds: max_draws keys and two numbers a range). An overfull range is cut into as many pieces as its share asks for."""
 
     n_shards: int = 8
     n_ranges: int = 512
     rows_per_range: int = 1_000_000
-    max_ranges: int = 8192
+    bytes_per_range: int = 1 << 30
+    max_ranges: int = 65_536
+    max_draws: int = 524_288
     samples_per_range: int = 32
     overfull: float = 2.0
     seed: int = 9
@@ -89,9 +92,9 @@ def _plan(narrow: DataFrame, p: ShardParams) -> _Plan | None:
     n, total = s["n"], s["b"]
     if not n:
         return None
-    r = min(p.max_ranges, max(p.n_ranges, -(-n // p.rows_per_range)))
+    r = min(p.max_ranges, max(p.n_ranges, -(-n // p.rows_per_range), -(-total // p.bytes_per_range)))
     # size-weighted draws: a row of b bytes stands for m = b * draws / total of them
-    draws = r * p.samples_per_range
+    draws = min(r * p.samples_per_range, max(p.max_draws, r))
     m = F.col(SIZE) * (draws / total)
     u = F.pmod(F.xxhash64(F.col(H), F.col(TIE), F.lit(p.seed)), F.lit(2**31)) / float(2**31)
     drawn = sorted((x["h"], x["t"], x["m"]) for x in narrow.filter(u < m).select(F.col(H).alias("h"), F.col(TIE).alias("t"), F.greatest(m, F.lit(1.0)).alias("m")).collect())
@@ -109,7 +112,7 @@ def _plan(narrow: DataFrame, p: ShardParams) -> _Plan | None:
     sums = count(pieces, unit0)
     limit = p.overfull * total / k
     if any(b > limit and c > 1 for b, c in sums.values()):
-        pieces = [min(256, -(-int(sums[i][0]) * k // total)) if i in sums and sums[i][0] > limit and sums[i][1] > 1 else 1 for i in range(k)]
+        pieces = [-(-int(sums[i][0]) * k // total) if i in sums and sums[i][0] > limit and sums[i][1] > 1 else 1 for i in range(k)]
         unit0 = _cumulative(pieces)
         sums = count(pieces, unit0)
     n_units = sum(pieces)

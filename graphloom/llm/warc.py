@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql.datasource import (
 )
 
 from graphloom.llm.common import BROADCAST_ROWS
-from graphloom.session import shared_dir
+from graphloom.session import reliable_checkpoint, shared_dir
 
 SCHEMA = "page_id bigint, record_type string, target_uri string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
 _ARROW = pa.schema(
@@ -56,6 +57,7 @@ _ROLL_BYTES = 64 << 20
 _BATCH_BYTES = 4 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:graphloom:page:"
+_ORIGINAL = "Graphloom-Original-URI"
 
 
 def _at(path: str) -> tuple[pafs.FileSystem, str]:
@@ -72,8 +74,8 @@ def _member(data: bytes) -> bytes:
 
 
 def _clean(uri: str) -> str:
-    """Control characters cannot stand in a header; they are percent-encoded."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
+    """Control characters and outer white space cannot stand in a header; they are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f]|^\s+|\s+$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri)
 
 
 def encode_record(page_id: int | None, kind: str, uri: str | None, refers_to: int | None, digest: str, length: int, payload: bytes | None) -> bytes:
@@ -91,6 +93,9 @@ def encode_record(page_id: int | None, kind: str, uri: str | None, refers_to: in
     ]
     if uri is not None:
         head.append(f"WARC-Target-URI: {_clean(uri)}")
+        if _clean(uri) != uri:
+            # as it was, for our own reader; others pass over fields they do not know
+            head.append(f"{_ORIGINAL}: {base64.b64encode(uri.encode('utf-8', 'surrogatepass')).decode()}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_URN}{refers_to}>"]
     head.append(f"Content-Length: {len(block)}")
@@ -248,7 +253,7 @@ class WarcReader(DataSourceReader):
         row = {
             "page_id": _page(head.get("warc-record-id")),
             "record_type": head.get("warc-type"),
-            "target_uri": head.get("warc-target-uri"),
+            "target_uri": base64.b64decode(own).decode("utf-8", "surrogatepass") if (own := head.get(_ORIGINAL.lower())) else head.get("warc-target-uri"),
             "refers_to": _page(head.get("warc-refers-to")),
             "payload_digest": _hex(head.get("warc-payload-digest")),
             "payload_bytes": None,
@@ -317,9 +322,9 @@ class WarcWriter(DataSourceArrowWriter):
             for x in fs.get_file_info(pafs.FileSelector(path)):
                 if x.type == pafs.FileType.File and x.path.endswith(".warc.gz"):
                     fs.delete_file(x.path)
-        for m in messages:
-            for f in m.files if m else ():
-                fs.move(f"{path}/_pending-{self.run}/{f}", f"{path}/{f}")
+        with ThreadPoolExecutor(32) as pool:
+            files = [f for m in messages if m for f in m.files]
+            list(pool.map(lambda f: fs.move(f"{path}/_pending-{self.run}/{f}", f"{path}/{f}"), files))
         self._clear(fs, path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -369,7 +374,7 @@ def archive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     )
     # the first of each payload is found among narrow rows; the payloads themselves move only if there are many repeats
     lead = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n"))
-    lead = lead.filter("n > 1 AND lead IS NOT NULL").select(F.col("payload_digest").alias("lead_digest"), "lead").persist()
+    lead = reliable_checkpoint(lead.filter("n > 1 AND lead IS NOT NULL").select(F.col("payload_digest").alias("lead_digest"), "lead"))
     many = lead.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
     joined = rows.join(lead if many else F.broadcast(lead), F.col("payload_digest") == F.col("lead_digest"), "left")
     revisit = F.col("lead").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("lead"))

@@ -216,6 +216,19 @@ def test_toxicity_learns_and_holds_out(spark, make, prose):
     assert got[701]["predicted"] == 0 and got[None]["held_out"]
 
 
+def test_conflicting_labels_count_as_toxic(spark, make, prose):
+    docs = make([" ".join(prose(30, i)) for i in range(60)] + ["other text"], ids=[*range(60), 3])
+    rows = [(i, 0, i % 2) for i in range(60)] + [(i, 0, 1 - i % 2) for i in range(0, 60, 3)] + [(None, 0, 1), (5, 0, None)]
+    p = FT.FtrlParams()
+    seen = []
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "doc_id long, quality int, toxic int").repartition(3)
+        seen.append(FT.training_rows(docs, labels, "doc_id", "text", "toxic", p))
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(y for _, y in seen[0]) == sum(i % 2 or i % 3 == 0 for i in train) + (3 in train)
+    assert [(f.tolist(), y) for f, y in seen[0]] == [(f.tolist(), y) for f, y in seen[1]]
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = FT.fit_and_score(make(["a b", None]), none).collect()
@@ -228,7 +241,7 @@ PAGES = "page_id long, url string, html string, payload string"
 
 def pages(spark):
     big, other = "<p>big</p>" * 200, "ß" * 600
-    rows = [(1, "http://a/1", big, "z"), (5, "http://a/5?x=1&y= \r\n", big, "z"), (9, None, big, "z"), (2, "u", other, ""), (3, "u", other, ""), (4, "u", "small", ""), (6, "u", "small", ""), (7, "u", None, ""), (8, "u", "", ""), (None, "u", big, "")]
+    rows = [(1, "http://a/1", big, "z"), (5, " http://a/5?x=1&y=ü \r\n", big, "z"), (9, None, big, "z"), (2, "u", other, ""), (3, "u", other, ""), (4, "u", "small", ""), (6, "u", "small", ""), (7, "u", None, ""), (8, "u", "", ""), (None, "u", big, "")]
     return spark.createDataFrame(rows, PAGES), rows
 
 
@@ -244,6 +257,7 @@ def test_warc_round_trip(spark, tmp_path):
         b, r = (h or "").encode(), got[i]
         revisit = len(b) >= 1000 and i != lead[h]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(b), hashlib.sha1(b).hexdigest())
+        assert r["target_uri"] == next(u for j, u, *_ in rows if j == i)
         assert (r["record_type"], r["refers_to"]) == (("revisit", lead[h]) if revisit else ("response", None))
     full = {r["page_id"]: r["payload"] for r in WA.read_warc(spark, f"file://{tmp_path}/w").filter("record_type = 'response'").collect()}
     assert all(bytes(full[i]) == (h or "").encode() for i, _, h, _ in rows if i in full) and set(full) == {9, 3, 4, 6, 7, 8}
