@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as CP
 
 
@@ -22,6 +24,31 @@ def test_stages_over_small_tables(spark, make, prose, tmp_path):
     assert [n for n, _ in CP.STAGES] == ["quality_rules", "minhash_near_dedup", "benchmark_decontamination", "mix_sources", "shard"]
 
 
+def tables(spark, d, folder, item=None):
+    d.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)] if item else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return CP.run(spark, folder)
+
+
+def test_empty_table(spark, make, tmp_path):
+    out = tables(spark, make([]), str(tmp_path))
+    assert out.count() == 0 and out.columns == [*make([]).columns, "shard", "slot"]
+
+
+def test_null_and_repeated_ids_and_repeated_rows(spark, make, prose, tmp_path):
+    a, b, c, e = (" ".join(prose(60, 300 + i)) for i in range(4))
+    item = " ".join(prose(25, 88))
+    long = " ".join(prose(30_000, 89))
+    texts = [a, a, a, b, c, None, "", e, e + " " + item, long, long + " end"]
+    d = make(texts, ids=[7, 7, 7, 7, None, 1, 2, None, 3, 4, 5], sources=["s"] * 4 + [None] * 7)
+    out = tables(spark, d, str(tmp_path), item)
+    # three equal rows are one; the other text under their id, and rows without ids, stay
+    rows = out.collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(7, a), (7, b), (None, c), (None, e), (4, long)}
+    assert max(Counter((r["doc_id"], r["text"]) for r in rows).values()) <= 2  # the mix passes over the small source twice
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) and out.columns == [*d.columns, "shard", "slot"]
+
+
 def test_registered():
     import __spark_entry__ as e
 
