@@ -45,6 +45,9 @@ def test_scalars(spark):
         ("vk.com/id1", "VKProfile", "vk.com/id1"), ("x.com/jack", "TwitterHandle", "twitter.com/jack"), ("linkedin.com/in/a-b", "LinkedInProfile", "linkedin.com/in/a-b"), ("youtube.com/@chan", "YouTubeChannel", "youtube.com/@chan"),
         ("github.com/Ab/C", "GitHubProfile", "github.com/ab/c"), ("github.com/pricing", "Domain", "github.com"), ("123e4567-e89b-12d3-a456-426614174000", "UUID", "123e4567-e89b-12d3-a456-426614174000"),
         ("IMEI 490154203237518", "IMEI", "490154203237518"), ("00-1A-2b-3C-4d-5E", "MACAddress", "00:1a:2b:3c:4d:5e"), ("А123ВС77", "LicensePlate", "А123ВС77"), ("1HGCM82633A004352", "VIN", "1HGCM82633A004352"),
+        ("example.pl", "Domain", "example.pl"), ("host.nl и", "Domain", "host.nl"), ("a.example.ch", "Domain", "a.example.ch"), ("github.com/team", "Domain", "github.com"), ("31-12-2024", "DocumentDate", "2024-12-31"),
+        ("1 250 300,5 руб", "Amount", "1250300.50 RUB"), ("300 тыс. рублей", "Amount", "300000.00 RUB"), ("github.com/a--b", "Domain", "github.com"), ("twitter: @jack", "TwitterHandle", "twitter.com/jack"),
+        ("youtube.com/channel/short", "Domain", "youtube.com"), ("x.com/search", "Domain", "x.com"), ("www.github.com/Ab-c/d.git", "GitHubProfile", "github.com/ab-c/d"), ("№ б/н", None, None),
         ("БИК 044525225 счет 40702810900000005555", "BIC", "044525225"), ("101000, г. Москва, ул. Мира, д. 5", "PostalAddress", "101000 москва ул мира 5"), ("КПП 7736001ZZ", None, None), ("КПП 773601001", "KPP", "773601001"),
     ],
 )
@@ -59,6 +62,8 @@ def test_identifiers(text, kind, canonical):
         ("2024-03-05..2024-03-07", "2024-03-05", "2024-03-07", "day"), ("2024-02", "2024-02-01", "2024-02-29", "month"), ("2019–2021 годы", "2019-01-01", "2021-12-31", "year"), ("15 марта", "2024-03-15", "2024-03-15", "day"),
         ("30 декабря", "2023-12-30", "2023-12-30", "day"), ("Q3", "2024-07-01", "2024-09-30", "month"), ("2 квартал 2023", "2023-04-01", "2023-06-30", "month"), ("второе полугодие", "2024-07-01", "2024-12-31", "month"),
         ("в марте", "2024-03-01", "2024-03-31", "month"), ("5-7 февраля", "2024-02-05", "2024-02-07", "day"), ("7 числа", "2024-02-07", "2024-02-07", "day"), ("в течение дня", "2024-01-31", "2024-01-31", "day"),
+        ("до 15 марта 2023 года", "2023-03-15", "2023-03-15", "day"), ("7-го числа", "2024-02-07", "2024-02-07", "day"), ("2-й квартал", "2024-04-01", "2024-06-30", "month"), ("май 2021", "2021-05-01", "2021-05-31", "month"),
+        ("2020 год", "2020-01-01", "2020-12-31", "year"), ("05.03.2024", "2024-03-05", "2024-03-05", "day"), ("позавчера", "2024-01-29", "2024-01-29", "day"), ("tomorrow", "2024-02-01", "2024-02-01", "day"), ("31 числа", "2024-01-31", "2024-01-31", "day"),
     ],
 )
 def test_event_times(phrase, start, end, precision):
@@ -69,6 +74,8 @@ def test_event_times(phrase, start, end, precision):
 def test_event_times_that_cannot_be_resolved(spark):
     assert [E.resolve(x, 19753) for x in (None, "", "2024-03-07..2024-03-05", "1700", "soon", "31 февраля", "x" * 99)] == [None] * 7
     assert E.resolve("15 марта", None) is None and E.resolve("1 марта с 10:00 до 12:30", 19753)[2] == "datetime"
+    assert E.resolve("с 9:05 до 10:00 мск", 19753) == (19753 * 86400 + 32700, 19753 * 86400 + 36000, "datetime")
+    assert [E.resolve(x, 19753) for x in ("с 10:00 до 25:00", "с 12:00 до 9:00", "2024-13", "5 квартал", "марта 15", "2024-xx-01", "вчера и сегодня")] == [None] * 7
     d = spark.createDataFrame([("2020", 1), ("?", None)], "r string, d int").select(E.resolve_event_time(F.col("r"), F.col("d")).alias("t"))
     assert [r["t"]["precision"] for r in d.collect()] == ["year", None]
     assert values(spark, E.sanitize_event_ts, ["(unknown)", "55.75, 37.61", "a; b", " в мае ", ""]) == [None, None, None, "в мае", None]
