@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,3 +171,55 @@ def faithfulness(answer: Column, evidence: Column) -> Column:
     """Share of the answer's numbers that occur in the evidence; 1 without numbers."""
     mine = numbers_in(answer)
     return F.when(F.size(mine) == 0, F.lit(1.0)).otherwise(1 - F.size(F.array_except(mine, numbers_in(evidence))) / F.size(mine))
+
+
+def period_bounds(period: Column, granularity: str) -> Column:
+    """A struct (first, last) of the days that a label of :func:`period_of_day` covers; null for what is no label."""
+    if granularity == "year":
+        first, last = F.make_date(period.try_cast("int"), F.lit(1), F.lit(1)), F.lit(12)
+    elif granularity == "quarter":
+        month = (F.substring(period, 7, 1).try_cast("int") - 1) * 3 + 1
+        first, last = F.make_date(F.substring(period, 1, 4).try_cast("int"), month, F.lit(1)), F.lit(3)
+    elif granularity in ("week", "day"):
+        first = period.try_cast("date")
+        return F.struct(first.alias("first"), F.date_add(first, 6 if granularity == "week" else 0).alias("last"))
+    else:
+        first, last = F.concat(F.substring(period, 1, 7), F.lit("-01")).try_cast("date"), F.lit(1)
+    return F.struct(first.alias("first"), F.date_sub(F.add_months(first, last), 1).alias("last"))
+
+
+def period_in_window(period: Column, granularity: str, since: str | None = None, until: str | None = None) -> Column:
+    """Whether the period overlaps the window of (partial) ISO dates; a bound that is none does not bind."""
+    b = period_bounds(period, granularity)
+    keep = F.lit(True)
+    if (lo := day_of_iso(since)) is not None:
+        keep = keep & (F.unix_date(b["last"]) >= lo)
+    if (hi := day_of_iso(until, end=True)) is not None:
+        keep = keep & (F.unix_date(b["first"]) <= hi)
+    return keep
+
+
+def parse_temporal(text: Column) -> Column:
+    """A struct (valid_from, valid_to) of ``from..to``; a single date is a start, each bound must be a partial ISO date."""
+    v = F.trim(F.coalesce(text, F.lit("")))
+    at = F.instr(v, "..")
+    left = F.when(at > 0, F.substring(v, F.lit(1), at - 1)).otherwise(v)
+    right = F.when(at > 0, F.substring(v, at + 2, F.length(v)))
+    return F.struct(valid_bound(F.trim(left)).alias("valid_from"), valid_bound(F.trim(right)).alias("valid_to"))
+
+
+def display_entity_name(name: Column) -> Column:
+    """All-lowercase words of an ASCII name are capitalised; others, and names in other scripts, stay as they are."""
+    v = F.regexp_replace(F.trim(name), r"\s+", " ")
+    word = lambda w: F.when((w == F.lower(w)) & (w != F.upper(w)), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
+    return F.when(v.rlike(r"^[\x00-\x7F]*$"), F.array_join(F.transform(F.split(v, " "), word), " ")).otherwise(v)
+
+
+def entity_vid(name: Column) -> Column:
+    """32 hex digits of a 128-bit hash by which an entity is stored; null counts as empty."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: hashlib.blake2b((x or "").encode(), digest_size=16).hexdigest())
+
+    return run(name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import deque
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 from graphloom.operators.components import connected_components
 from graphloom.plans.kg import KnowledgeGraph
-from graphloom.session import reliable_checkpoint
+from graphloom.session import reliable_checkpoint, written
 
 #: Iterations between two looks at the convergence.
 CHECK_EVERY = 5
@@ -33,16 +34,63 @@ def _both(graph: DataFrame) -> DataFrame:
     return graph.select("a", "b", "w").union(graph.select(F.col("b"), F.col("a"), "w"))
 
 
-def pagerank(graph: DataFrame, nodes: DataFrame | None = None, seeds: list[str] | None = None, damping: float = 0.85, iterations: int = 20, tol: float = 1e-10) -> DataFrame:
+def _edges(graph: DataFrame, local_edges: int, nodes: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """The edges, stored, and whether one task may hold them all."""
+    g = graph.select("a", "b", F.col("w").cast("double").alias("w"))
+    if nodes is not None:
+        g = g.union(nodes.select("name", F.lit(None).cast("string"), F.lit(None).cast("double")))
+    g = reliable_checkpoint(g)
+    return g, g.limit(local_edges + 1).count() <= local_edges
+
+
+def _in_one_task(g: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]) -> DataFrame:
+    """(name, score) by a kernel over (ends, other ends, weights, number of nodes, names); both directions of every edge."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(it), ignore_index=True)
+        codes, names = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
+        a, b = codes[: len(pdf)], codes[len(pdf) :]
+        real = b >= 0
+        src, dst = np.concatenate([a[real], b[real]]), np.concatenate([b[real], a[real]])
+        w = np.tile(pdf["w"].to_numpy(np.float64)[real], 2)
+        yield pd.DataFrame({"name": names, "score": kernel(src, dst, w, len(names), np.asarray(names))})
+
+    return g.coalesce(1).mapInPandas(run, "name string, score double")
+
+
+def pagerank(
+    graph: DataFrame, nodes: DataFrame | None = None, seeds: list[str] | None = None, damping: float = 0.85, iterations: int = 20, tol: float = 1e-10, local_edges: int = 4_000_000
+) -> DataFrame:
     """(name, score) summing to 1; with seeds, the walk restarts at them. Seeds that are no nodes are ignored.
 
-    Mass of nodes without edges goes where the walk restarts. The edge table is partitioned by its source once;
-    each round joins it with the narrow ranks and sums what flows in before the shuffle.
+    Mass of nodes without edges goes where the walk restarts. Up to ``local_edges`` edges the rounds run as array
+    operations in one task; beyond, the edge table is partitioned by its source once, and each round joins it
+    with the narrow ranks and sums what flows in before the shuffle. Both give the same scores.
     """
-    both = _both(graph)
-    names = both.select(F.col("a").alias("name")).distinct() if nodes is None else nodes.select("name").union(both.select("a")).distinct()
+    g, fits = _edges(graph, local_edges, nodes)
+    if fits:
+        if not g.limit(1).count():
+            return g.select(F.col("a").alias("name"), F.lit(0.0).alias("score"))
+
+        def kernel(src, dst, w, n, names):
+            total = np.bincount(src, weights=w, minlength=n)
+            tp = np.full(n, 1.0 / n) if seeds is None else np.isin(names.astype(str), list(seeds)).astype(np.float64)
+            if not tp.sum():
+                return np.full(n, np.nan)
+            tp /= tp.sum()
+            p, rank = w / total[src], tp.copy()
+            for i in range(iterations):
+                new = (1 - damping) * tp + damping * (np.bincount(dst, weights=rank[src] * p, minlength=n) + rank[total == 0].sum() * tp)
+                moved, rank = np.abs(new - rank).sum(), new
+                if (i + 1) % CHECK_EVERY == 0 and moved < tol:
+                    break
+            return rank
+
+        return _in_one_task(g, kernel).filter("score IS NOT NULL AND NOT isnan(score)")
+    both = _both(g.filter("b IS NOT NULL"))
+    names = g.select(F.col("a").alias("name")).union(g.filter("b IS NOT NULL").select("b")).distinct()
     out = both.groupBy("a").agg(F.sum("w").alias("total"))
-    share = reliable_checkpoint(both.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")).repartition("a")).persist()
+    share = reliable_checkpoint(both.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")).repartition("a"))
     base = names.join(out.select(F.col("a").alias("name"), F.lit(True).alias("linked")), "name", "left").withColumn("dangling", F.col("linked").isNull())
     if seeds is None:
         n = names.count()
@@ -62,19 +110,31 @@ def pagerank(graph: DataFrame, nodes: DataFrame | None = None, seeds: list[str]
         new = new.select("name", (F.lit(1 - damping) * F.col("tp") + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") * F.col("tp"))).alias("score"))
         # ranks are read twice a round, so they are stored: else each round would double the work
         new = reliable_checkpoint(new)
+        moved = None
         if (i + 1) % CHECK_EVERY == 0 and i + 1 < iterations:
             moved = new.alias("n").join(rank.alias("o"), "name").agg(F.sum(F.abs(F.col("n.score") - F.col("o.score")))).first()[0]
-            rank = new
-            if moved is not None and moved < tol:
-                break
-        else:
-            rank = new
+        rank = new
+        if moved is not None and moved < tol:
+            break
     return rank
 
 
-def eigenvector(graph: DataFrame, iterations: int = 30) -> DataFrame:
-    """(name, score), the largest score 1; iterates A + I, so that bipartite graphs do not swing."""
-    both = reliable_checkpoint(_both(graph).repartition("a")).persist()
+def eigenvector(graph: DataFrame, iterations: int = 30, local_edges: int = 4_000_000) -> DataFrame:
+    """(name, score), the largest score 1; iterates A + I, so that bipartite graphs do not swing. Sizes as in :func:`pagerank`."""
+    g, fits = _edges(graph, local_edges)
+    if fits:
+        if not g.limit(1).count():
+            return g.select(F.col("a").alias("name"), F.lit(0.0).alias("score"))
+
+        def kernel(src, dst, w, n, names):
+            x = np.ones(n)
+            for _ in range(iterations):
+                x = x + np.bincount(dst, weights=x[src] * w, minlength=n)
+                x /= x.max()
+            return x
+
+        return _in_one_task(g, kernel)
+    both = reliable_checkpoint(_both(g).repartition("a"))
     x = both.select(F.col("a").alias("name")).distinct().withColumn("score", F.lit(1.0))
     for _ in range(iterations):
         flow = both.join(x, F.col("a") == F.col("name")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
@@ -134,8 +194,10 @@ def shortest_path(kg: KnowledgeGraph, source: str, target: str, max_hops: int =
     return spark.createDataFrame([], schema)
 
 
-def graph_walk(kg: KnowledgeGraph, start: str, hops: int = 2, rel_types: list[str] | None = None, now: str | None = None, max_nodes: int = 50, max_edges: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Entities (name, hop) and live relations (src, rel, tgt) around a start, nearest first, then by name.
+def graph_walk(
+    kg: KnowledgeGraph, start: str | list[str], hops: int = 2, rel_types: list[str] | None = None, now: str | None = None, max_nodes: int = 50, max_edges: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Entities (name, hop) and live relations (src, rel, tgt) around a start (or several), nearest first, then by name.
 
     Negated edges and, given ``now``, edges whose validity has ended (compared at the precision of the bound) are not walked.
     """
@@ -145,7 +207,8 @@ def graph_walk(kg: KnowledgeGraph, start: str, hops: int = 2, rel_types: list[st
     if now is not None:
         e = e.filter(F.col("valid_to").isNull() | (F.col("valid_to") >= F.lit(now).substr(F.lit(1), F.length("valid_to"))))
     spark = kg.relations.sparkSession
-    nodes = spark.createDataFrame([(start, 0)], "name string, hop int")
+    starts = [start] if isinstance(start, str) else list(dict.fromkeys(start))
+    nodes = spark.createDataFrame([(x, 0) for x in starts], "name string, hop int")
     front = nodes
     for hop in range(1, min(max(hops, 1), 3) + 1):
         reached = e.join(front.select(F.col("name").alias("a")), "a").select(F.col("b").alias("name")).distinct().join(nodes.select("name"), "name", "left_anti")
@@ -167,32 +230,87 @@ def degree_stats(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def node_similarity(graph: DataFrame, top_k: int = 10, cutoff: float = 0.5, block: int = 256) -> DataFrame:
+def node_similarity(graph: DataFrame, top_k: int = 10, cutoff: float = 0.5) -> DataFrame:
     """(a, b, score): Jaccard similarity of neighbour sets, for each node the top_k others at or above the cutoff.
 
     Pairs come from shared neighbours. Sets whose sizes differ too much cannot reach the cutoff, and a pair
     above it must share one of the rarer neighbours of each (prefix filter), so hubs do not pair
-    all their neighbours; the exact similarity is then taken from the whole sets.
+    all their neighbours; the exact similarity is then taken from the whole sets. All of this runs on
+    64-bit hashes of the names, which come back at the end.
     """
-    both = _both(graph).select("a", "b").distinct()
+    g = reliable_checkpoint(graph.select("a", "b").filter("a <> b").distinct())
+    named = reliable_checkpoint(g.select(F.col("a").alias("n")).union(g.select("b")).distinct().select("n", F.xxhash64("n").alias("h")))
+    hashed = g.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    both = reliable_checkpoint(hashed.union(hashed.select("b", "a")).distinct())
     deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     ranked = both.join(deg.select(F.col("a").alias("b"), F.col("d").alias("freq")), "b").join(deg, "a")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("freq", "b")))
-    prefix = ranked.filter(F.col("r") <= F.col("d") - F.ceil(F.lit(cutoff) * F.col("d")) + 1).select("a", "b", "d")
+    sets = ranked.groupBy("a").agg(F.first("d").alias("d"), F.sort_array(F.collect_list(F.struct("freq", "b"))).alias("s"))
+    # a set's rarest neighbours first; beyond the prefix a pair cannot first meet
+    sets = reliable_checkpoint(sets.select("a", "d", F.transform("s", lambda x: x["b"]).alias("nb")))
+    keep = (F.col("d") - F.ceil(F.lit(cutoff) * F.col("d")) + 1).cast("int")
+    prefix = sets.select("a", "d", F.explode(F.slice("nb", F.lit(1), keep)).alias("b"))
     x, y = prefix.select(F.col("a").alias("x"), "b", F.col("d").alias("dx")), prefix.select(F.col("a").alias("y"), "b", F.col("d").alias("dy"))
     near = (F.least("dx", "dy") >= cutoff * F.greatest("dx", "dy")) & (F.col("x") < F.col("y"))
     cand = x.join(y, "b").filter(near).select("x", "y").distinct()
-    sets = both.groupBy("a").agg(F.collect_set("b").alias("nb"))
     full = cand.join(sets.select(F.col("a").alias("x"), F.col("nb").alias("nx")), "x").join(sets.select(F.col("a").alias("y"), F.col("nb").alias("ny")), "y")
     inter = F.size(F.array_intersect("nx", "ny"))
     s = full.select("x", "y", (inter / (F.size("nx") + F.size("ny") - inter)).alias("score")).filter(F.col("score") >= cutoff)
-    each = s.select(F.col("x").alias("a"), F.col("y").alias("b"), "score").union(s.select(F.col("y"), F.col("x"), "score"))
+    s = s.join(named.select(F.col("h").alias("x"), F.col("n").alias("p")), "x").join(named.select(F.col("h").alias("y"), F.col("n").alias("q")), "y").select("p", "q", "score")
+    each = s.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))).alias("e"), "score").select("e.a", "e.b", "score")
     top = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return each.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= top_k).drop("k")
 
 
-def betweenness(graph: DataFrame, max_edges: int = 2_000_000, sources: int | None = None) -> DataFrame:
-    """(name, score): unweighted betweenness by Brandes' accumulation, sources dealt over the tasks.
+def _csr(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, neighbours and weights by node."""
+    order = np.argsort(src, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst[order], w[order]
+
+
+def _steps_by_level(s: int, starts: np.ndarray, nbrs: np.ndarray, dist: np.ndarray, sigma: np.ndarray) -> tuple[list, np.ndarray]:
+    """Shortest-path steps (from, to) level by level, paths counted in sigma; and the nodes reached."""
+    dist[s], sigma[s] = 0, 1.0
+    front, levels, seen, d = np.array([s]), [], [np.array([s])], 0
+    while len(front):
+        lo, k = starts[front], starts[front + 1] - starts[front]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        u, v = np.repeat(front, k), nbrs[at]
+        d += 1
+        new = np.unique(v[dist[v] < 0])
+        dist[new] = d
+        on = dist[v] == d
+        u, v = u[on], v[on]
+        np.add.at(sigma, v, sigma[u])
+        levels.append((u, v))
+        seen.append(new)
+        front = new
+    return levels, np.concatenate(seen)
+
+
+def _steps_by_distance(s: int, starts: np.ndarray, nbrs: np.ndarray, w: np.ndarray, dist: np.ndarray, sigma: np.ndarray) -> tuple[list, np.ndarray]:
+    """The same for weights as distances, one step list a settled node, in the order of settling."""
+    dist[s], sigma[s] = 0.0, 1.0
+    heap, settled, preds, order = [(0.0, s)], set(), {s: []}, []
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u in settled:
+            continue
+        settled.add(u)
+        order.append(u)
+        sigma[u] = 1.0 if u == s else sum(sigma[p] for p in preds[u])
+        for i in range(starts[u], starts[u + 1]):
+            v, far = int(nbrs[i]), d + w[i]
+            known = dist[v]
+            if known < 0 or far < known - 1e-12 * max(1.0, known):
+                dist[v], preds[v] = far, [u]
+                heapq.heappush(heap, (far, v))
+            elif abs(far - known) <= 1e-12 * max(1.0, known) and v not in settled:
+                preds[v].append(u)
+    return [(np.array(preds[v], np.int64), np.full(len(preds[v]), v)) for v in order if v != s], np.array(order)
+
+
+def betweenness(graph: DataFrame, max_edges: int = 2_000_000, sources: int | None = None, weighted: bool = False) -> DataFrame:
+    """(name, score): betweenness by Brandes' accumulation, sources dealt over the tasks; with ``weighted``, weights are distances.
 
     The adjacency goes to every task, so its size is checked: beyond max_edges this raises, and the caller
     samples ``sources`` (a deterministic choice by hash, scores scaled up) on a smaller graph instead.
@@ -201,143 +319,177 @@ def betweenness(graph: DataFrame, max_edges: int = 2_000_000, sources: int | Non
     if n_edges > max_edges:
         raise ValueError(f"more than {max_edges} edges: too many to send to every task")
     spark = graph.sparkSession
-    pairs = graph.select("a", "b").toPandas()
-    names = sorted(set(pairs["a"]) | set(pairs["b"]))
-    index = {n: i for i, n in enumerate(names)}
-    adj: list[list[int]] = [[] for _ in names]
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        adj[index[a]].append(index[b]), adj[index[b]].append(index[a])
-    shared = spark.sparkContext.broadcast(adj)
+    pairs = graph.select("a", "b", F.col("w").cast("double").alias("w")).toPandas()
+    codes, names = pd.factorize(pd.concat([pairs["a"], pairs["b"]], ignore_index=True))
     n = len(names)
     if not n:
         return graph.select(F.col("a").alias("name"), F.lit(0.0).alias("score")).limit(0)
+    a, b, w = codes[: len(pairs)], codes[len(pairs) :], pairs["w"].to_numpy()
+    shared = spark.sparkContext.broadcast(_csr(np.concatenate([a, b]), np.concatenate([b, a]), np.tile(w, 2), n))
     src = spark.range(n).withColumnRenamed("id", "s")
     if sources is not None and sources < n:
         src = src.orderBy(F.xxhash64("s")).limit(sources)
     scale = n / min(sources or n, n)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adj = shared.value
-        total = np.zeros(len(adj))
+        starts, nbrs, w = shared.value
+        total, dist, sigma, delta = np.zeros(n), np.full(n, -1.0), np.zeros(n), np.zeros(n)
         for pdf in it:
             for s in pdf["s"]:
-                order, preds = [], [[] for _ in adj]
-                sigma, dist = np.zeros(len(adj)), np.full(len(adj), -1)
-                sigma[s], dist[s] = 1.0, 0
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adj[v]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            preds[w].append(v)
-                delta = np.zeros(len(adj))
-                for w in reversed(order):
-                    for v in preds[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] += delta[w]
+                steps, seen = _steps_by_distance(s, starts, nbrs, w, dist, sigma) if weighted else _steps_by_level(s, starts, nbrs, dist, sigma)
+                for u, v in reversed(steps):
+                    np.add.at(delta, u, sigma[u] / sigma[v] * (1 + delta[v]))
+                delta[s] = 0.0
+                total[seen] += delta[seen]
+                # only what was touched is wiped, so many small components cost little
+                dist[seen], sigma[seen], delta[seen] = -1.0, 0.0, 0.0
         live = np.flatnonzero(total)
         yield pd.DataFrame({"i": live, "v": total[live]})
 
     parts = max(1, min(n // 64 + 1, 512))
     got = src.repartition(parts).mapInPandas(run, "i long, v double").groupBy("i").agg((F.sum("v") / 2 * scale).alias("score"))
-    named = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+    named = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "name": np.asarray(names, dtype=object)}), "i long, name string")
     return named.join(got, "i", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def louvain(graph: DataFrame, gamma: float = 1.0, max_levels: int = 10, task_edges: int = 1_000_000) -> DataFrame:
-    """(name, ids): community ids from the finest level to the coarsest, by modularity moves in a fixed order.
+def _move_nodes(both: DataFrame, deg: DataFrame, total: float, gamma: float, max_rounds: int) -> DataFrame:
+    """(name, comm): modularity moves in rounds; in each a half of the nodes, chosen by hash, may join the community of the greatest gain.
 
-    Components are independent under modularity moves, so each is a task of its own; the total edge weight of the
-    whole graph enters as a number. A component of more than task_edges edges is first cut by label
-    propagation over the whole cluster, and its pieces are then refined alike.
+    A node alone joins another that is alone only if that one's name is smaller, so that two do not change places.
     """
-    total = graph.agg(F.sum("w")).first()[0] or 1.0
-    comp = components(graph).withColumnRenamed("name", "a")
-    keyed = reliable_checkpoint(graph.join(comp, "a"))
-    big = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_edges)
-    if big.limit(1).count():
-        large = keyed.join(big.select("component"), "component", "left_semi")
-        label = label_propagation(large.select("a", "b", "w")).withColumnRenamed("name", "node")
-        cut = large.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        keyed = keyed.join(big.select("component"), "component", "left_anti").select("a", "b", "w", "component").union(cut.filter("la = lb").select("a", "b", "w", F.col("la").alias("component")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        index = {n: i for i, n in enumerate(names)}
-        nbr: list[dict[int, float]] = [{} for _ in names]
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
-            nbr[index[a]][index[b]] = w
-            nbr[index[b]][index[a]] = w
-        own = [0.0] * len(names)
-        member = list(range(len(names)))
-        levels = []
-        for _ in range(max_levels):
-            community = _local_moves(nbr, own, total, gamma)
-            ids = {c: k for k, c in enumerate(sorted(set(community)))}
-            community = [ids[c] for c in community]
-            if len(ids) == len(nbr) and levels:
-                break
-            member = [community[m] for m in member]
-            first: dict[int, str] = {}
-            for n, m in zip(names, member, strict=True):
-                first.setdefault(m, n)
-            levels.append([first[m] for m in member])
-            if len(ids) == len(nbr) or len(ids) == 1:
-                break
-            nxt: list[dict[int, float]] = [{} for _ in ids]
-            loops = [0.0] * len(ids)
-            for v, near in enumerate(nbr):
-                loops[community[v]] += own[v]
-                for u, w in near.items():
-                    if community[u] == community[v]:
-                        loops[community[v]] += w / 2
-                    else:
-                        nxt[community[v]][community[u]] = nxt[community[v]].get(community[u], 0.0) + w
-            nbr, own = nxt, loops
-        return pd.DataFrame({"name": names, "ids": [list(x) for x in zip(*levels, strict=True)]})
-
-    return keyed.groupBy("component").applyInPandas(run, "name string, ids array<string>")
-
-
-def _local_moves(nbr: list[dict[int, float]], own: list[float], total: float, gamma: float) -> list[int]:
-    community = list(range(len(nbr)))
-    degree = [sum(x.values()) + 2 * o for x, o in zip(nbr, own, strict=True)]
-    weight = degree.copy()
-    for _ in range(100):
-        moved = False
-        for v, near in enumerate(nbr):
-            links: dict[int, float] = {}
-            for u, w in near.items():
-                links[community[u]] = links.get(community[u], 0.0) + w
-            here = community[v]
-            weight[here] -= degree[v]
-            gain = lambda c: links.get(c, 0.0) - gamma * degree[v] * weight[c] / (2 * total)  # noqa: B023, E731
-            best = max(sorted({*links, here}), key=lambda c: (gain(c), c == here))
-            if gain(best) <= gain(here) + 1e-12:
-                best = here
-            weight[best] += degree[v]
-            moved |= best != here
-            community[v] = best
-        if not moved:
+    comm = written(deg.select("name", F.col("name").alias("comm"), "k"))
+    idle = 0
+    for r in range(max_rounds):
+        size = comm.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("n"))
+        links = both.join(comm.select(F.col("name").alias("b"), "comm"), "b").groupBy("a", "comm").agg(F.sum("w").alias("l"))
+        own = comm.select(F.col("name").alias("a"), F.col("comm").alias("here"), "k").join(size.select(F.col("comm").alias("here"), F.col("n").alias("n_here")), "here")
+        x = links.join(size, "comm").join(own, "a")
+        same = F.col("comm") == F.col("here")
+        gain = F.col("l") - gamma * F.col("k") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0.0)) / (2 * total)
+        allowed = same | ~((F.col("n") == 1) & (F.col("n_here") == 1) & (F.col("comm") > F.col("here")))
+        x = x.withColumn("gain", F.round(gain, 9)).filter(allowed)
+        best = x.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("comm"))).alias("best"), F.max(F.when(same, F.col("gain"))).alias("stay"))
+        # without a link into its own community a node's gain there is what leaving costs
+        alone = own.join(size.select(F.col("comm").alias("here"), "tot"), "here").select("a", (-gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * total)).alias("floor"))
+        best = best.join(alone, "a")
+        goes = (-F.col("best.g") > F.coalesce("stay", F.col("floor")) + 1e-9) & (F.shiftright(F.crc32(F.col("a").cast("binary")), r % 32).bitwiseAND(F.lit(1)) == 0)
+        moves = best.filter(goes).select(F.col("a").alias("name"), F.col("best.comm").alias("to"))
+        comm = written(comm.join(moves, "name", "left").select("name", F.coalesce("to", "comm").alias("comm"), "k", F.col("to").isNotNull().alias("moved")))
+        idle = 0 if comm.filter("moved").limit(1).count() else idle + 1
+        comm = comm.drop("moved")
+        # three draws of halves without a move
+        if idle == 3:
+            break
+    return comm.select("name", "comm")
+
+
+def _least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each node the smallest one that edges connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _moves_in_task(a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray, bits: np.ndarray, total: float, gamma: float, max_rounds: int) -> np.ndarray:
+    """:func:`_move_nodes` as array operations; codes stand in the order of the names."""
+    n = len(loop)
+    src, dst, w2 = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(w, 2)
+    k = np.bincount(src, weights=w2, minlength=n) + 2 * loop
+    comm, idle = np.arange(n), 0
+    for r in range(max_rounds):
+        tot, cnt = np.bincount(comm, weights=k, minlength=n), np.bincount(comm, minlength=n)
+        key, back = np.unique(src * n + comm[dst], return_inverse=True)
+        x, c, l = key // n, key % n, np.bincount(back, weights=w2)
+        same = c == comm[x]
+        gain = np.round(l - gamma * k[x] * (tot[c] - np.where(same, k[x], 0.0)) / (2 * total), 9)
+        stay = -gamma * k * (tot[comm] - k) / (2 * total)
+        stay[x[same]] = gain[same]
+        ok = same | ~((cnt[c] == 1) & (cnt[comm[x]] == 1) & (c > comm[x]))
+        x, c, gain = x[ok], c[ok], gain[ok]
+        order = np.lexsort((c, -gain, x))
+        first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
+        goes = first[(gain[first] > stay[x[first]] + 1e-9) & (bits[x[first]] >> (r % 32) & 1 == 0)]
+        comm[x[goes]] = c[goes]
+        idle = 0 if len(goes) else idle + 1
+        if idle == 3:
+            break
+    return comm
+
+
+def _communities_in_task(pdf: pd.DataFrame, gamma: float, max_levels: int, max_rounds: int) -> pd.DataFrame:
+    names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]).astype(str), return_inverse=True)
+    n, a, b, w = len(names), codes[: len(pdf)], codes[len(pdf) :], pdf["w"].to_numpy(np.float64)
+    bits = np.array([zlib.crc32(x.encode()) for x in names], np.int64)
+    total, loop, now, levels = w.sum() or 1.0, np.zeros(n), np.arange(n), []
+    left = n
+    for _ in range(max_levels):
+        comm = _moves_in_task(a, b, w, loop, bits, total, gamma, max_rounds)
+        inside = comm[a] == comm[b]
+        to = _least_linked(a[inside], b[inside], n)
+        k = len(np.unique(to[now]))
+        if k == left and levels:
+            break
+        now = to[now]
+        levels.append(now)
+        if k == left:
+            break
+        ta, tb = to[a], to[b]
+        low, high = np.minimum(ta, tb), np.maximum(ta, tb)
+        loop = np.bincount(to, weights=loop, minlength=n) + np.bincount(low[low == high], weights=w[low == high], minlength=n)
+        key, back = np.unique((low * n + high)[low != high], return_inverse=True)
+        a, b, w, left = key // n, key % n, np.bincount(back, weights=w[low != high]), k
+    return pd.DataFrame({"name": names, "ids": [list(names[list(x)]) for x in zip(*levels, strict=True)]})
+
+
+def communities(graph: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 24, local_edges: int = 4_000_000) -> DataFrame:
+    """(name, ids): community ids from the finest level to the coarsest, by modularity; every node of the graph has a row.
+
+    Each level moves nodes between communities, splits communities that are not connected into their parts (so every
+    community is connected), and goes on with the communities as nodes, edges summed. Up to ``local_edges`` edges one task
+    does this with arrays; beyond, every step is a join over the edge table. The rules are the same, so the
+    result does not depend on the size. A community's id is its smallest name.
+    """
+    edges, fits = _edges(graph, local_edges)
+    if fits:
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if parts := [x for x in it if len(x)]:
+                yield _communities_in_task(pd.concat(parts, ignore_index=True), gamma, max_levels, max_rounds)
+
+        return edges.filter("a <> b").coalesce(1).mapInPandas(run, "name string, ids array<string>")
+    total = edges.agg(F.sum("w")).first()[0] or 1.0
+    loops = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct().withColumn("loop", F.lit(0.0))
+    members = written(loops.select("name", F.col("name").alias("now"), F.array().cast("array<string>").alias("ids")))
+    n = members.count()
+    for _ in range(max_levels):
+        both = written(_both(edges))
+        flow = both.groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("out"))
+        deg = written(loops.join(flow, "name", "left").select("name", "loop", (F.coalesce("out", F.lit(0.0)) + 2 * F.col("loop")).alias("k")))
+        comm = _move_nodes(both, deg.select("name", "k"), total, gamma, max_rounds)
+        side = lambda c: comm.select(F.col("name").alias(c), F.col("comm").alias(f"c{c}"))  # noqa: B023, E731
+        inside = edges.join(side("a"), "a").join(side("b"), "b").filter("ca = cb")
+        part = connected_components(inside)
+        label = written(deg.join(part, F.col("name") == F.col("node"), "left").select("name", "loop", F.coalesce("component", "name").alias("to")))
+        k = label.select("to").distinct().count()
+        step = label.select(F.col("name").alias("now"), "to")
+        if k == n and members.filter(F.size("ids") > 0).limit(1).count():
+            break
+        members = written(members.join(step, "now").select("name", F.col("to").alias("now"), F.concat("ids", F.array("to")).alias("ids")))
+        if k == n:
             break
-    return community
-
-
-def label_propagation(graph: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, label): the heaviest label among neighbours, ties to the smallest; stays where it is without gain."""
-    both = reliable_checkpoint(_both(graph))
-    label = both.select(F.col("a").alias("name"), F.col("a").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = both.join(label, F.col("b") == F.col("name")).groupBy("a", "label").agg(F.sum("w").alias("v"))
-        best = votes.groupBy("a").agg(F.max(F.struct("v", F.col("label"))).alias("m"))
-        label = reliable_checkpoint(best.select(F.col("a").alias("name"), F.col("m.label").alias("label")))
-    return label
+        end = lambda c: label.select(F.col("name").alias(c), F.col("to").alias(f"t{c}"))  # noqa: B023, E731
+        moved = written(edges.join(end("a"), "a").join(end("b"), "b").groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.sum("w").alias("w")))
+        loops = label.groupBy(F.col("to").alias("name")).agg(F.sum("loop").alias("loop")).join(moved.filter("a = b").select(F.col("a").alias("name"), "w"), "name", "left")
+        loops = written(loops.select("name", (F.col("loop") + F.coalesce("w", F.lit(0.0))).alias("loop")))
+        edges, n = moved.filter("a <> b"), k
+    return members.select("name", "ids")
 
 
 def community_levels(members: DataFrame, min_size: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 from graphloom.plans.kg import KnowledgeGraph
 from graphloom.schema import EXPECTED_IDS, clamp_top_n
+from graphloom.session import reliable_checkpoint
 
 SECONDS_A_DAY = 86_400
 
@@ -75,7 +76,7 @@ def top_entities_by_mentions(kg: KnowledgeGraph, type: str | None = None, top_n:
 
 def top_entities_by_degree(kg: KnowledgeGraph, type: str | None = None, top_n: int = 20) -> DataFrame:
     # edges are counted by end before the join: both sides then have a row a name
-    degree = kg.undirected.filter(S.live(F.col("polarity"))).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
+    degree = kg.ends.filter(S.live(F.col("polarity"))).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
     e = _entities(kg, type).select("name").join(degree, "name", "left")
     return _top(e.select("name", F.coalesce("d", F.lit(0)).alias("degree")), top_n, F.desc("degree"), "name")
 
@@ -123,7 +124,7 @@ def common_connections(kg: KnowledgeGraph, a: str, b: str, top_n: int = 25) -> D
 
 def shared_identifier_entities(kg: KnowledgeGraph, id_type: str | None = None, min_owners: int = 2, top_n: int = 25) -> DataFrame:
     ids = kg.entities.filter(S.is_identifier(F.col("label")) if id_type is None else (F.col("label") == id_type)).select(F.col("name").alias("value"), F.col("label").alias("id_type"))
-    owners = kg.undirected.select(F.col("a").alias("value"), F.col("b").alias("owner")).join(ids, "value")
+    owners = kg.ends.select(F.col("a").alias("value"), F.col("b").alias("owner")).join(ids, "value")
     owners = owners.join(kg.entities.filter(~S.is_identifier(F.col("label"))).select(F.col("name").alias("owner")), "owner")
     out = owners.groupBy("value", "id_type").agg(F.array_sort(F.collect_set("owner")).alias("owners")).filter(F.size("owners") >= min_owners)
     return _top(out, top_n, F.desc(F.size("owners")), "value", "id_type", default=25)
@@ -178,7 +179,7 @@ def whats_changed(kg: KnowledgeGraph, date_from: str, date_to: str, entity: str
 
     Without ``entity`` every edge is seen from both ends.
     """
-    e = (kg.undirected if entity is None else _edges_of(kg, entity)).filter(F.col("rel_type") != "LIKELY_LINK")
+    e = (kg.ends if entity is None else _edges_of(kg, entity)).filter(F.col("rel_type") != "LIKELY_LINK")
     lo, hi = S.day_of_iso(date_from), S.day_of_iso(date_to, end=True)
     within = lambda c: F.coalesce(F.col(c).between(date_from, date_to), F.lit(False))
     seen = F.lit(False)
@@ -190,10 +191,12 @@ def whats_changed(kg: KnowledgeGraph, date_from: str, date_to: str, entity: str
     return _top(out, top_n, F.asc_nulls_last(F.coalesce("valid_from", "valid_to")), "name", "other", "rel_id", default=50).drop("rel_id")
 
 
-def topic_trend(kg: KnowledgeGraph, topic: str, granularity: str = "month") -> DataFrame:
+def topic_trend(kg: KnowledgeGraph, topic: str, granularity: str = "month", since: str | None = None, until: str | None = None) -> DataFrame:
+    """Mentions a period; since and until (partial ISO dates) leave the periods that overlap them."""
     mine = kg.mentions.filter(F.col("entity_name") == topic).select("chunk_id").distinct()
     dated = kg.chunks.filter("doc_date_epoch IS NOT NULL").join(mine, "chunk_id", "left_semi")
-    return dated.groupBy(S.period_of_day(F.col("doc_date_epoch"), granularity).alias("period")).agg(F.countDistinct("chunk_id").alias("mentions")).orderBy("period")
+    trend = dated.groupBy(S.period_of_day(F.col("doc_date_epoch"), granularity).alias("period")).agg(F.countDistinct("chunk_id").alias("mentions"))
+    return trend.filter(S.period_in_window(F.col("period"), granularity, since, until)).orderBy("period")
 
 
 entity_activity = topic_trend
@@ -201,7 +204,7 @@ entity_activity = topic_trend
 
 def polarity_evolution(kg: KnowledgeGraph, name: str | None = None, rel_type: str | None = None) -> DataFrame:
     """Without ``name`` every edge counts from both ends."""
-    e = (kg.undirected if name is None else _edges_of(kg, name)).filter("valid_from IS NOT NULL")
+    e = (kg.ends if name is None else _edges_of(kg, name)).filter("valid_from IS NOT NULL")
     if rel_type is not None:
         e = e.filter(F.col("rel_type") == rel_type)
     return e.groupBy(F.substring("valid_from", 1, 7).alias("period"), "polarity").agg(F.count(F.lit(1)).alias("n")).orderBy("period", "polarity")
@@ -282,7 +285,7 @@ def contradictions(kg: KnowledgeGraph, top_n: int = 50) -> DataFrame:
 
 
 def _degrees(kg: KnowledgeGraph) -> DataFrame:
-    return kg.undirected.groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
+    return kg.ends.groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
 
 
 def orphans(kg: KnowledgeGraph, min_degree: int = 1, top_n: int = 20) -> DataFrame:
@@ -294,7 +297,7 @@ def orphans(kg: KnowledgeGraph, min_degree: int = 1, top_n: int = 20) -> DataFra
 def incomplete_entities(kg: KnowledgeGraph, type: str = "Organization", expected: tuple[str, ...] | None = None, top_n: int = 20) -> DataFrame:
     want = tuple(expected or EXPECTED_IDS.get(type, ()))
     ids = kg.entities.filter(F.col("label").isin(*want)).select(F.col("name").alias("b"), F.col("label").alias("idl"))
-    have = kg.undirected.select("a", "b").join(ids, "b").groupBy(F.col("a").alias("name")).agg(F.array_sort(F.collect_set("idl")).alias("have"))
+    have = kg.ends.select("a", "b").join(ids, "b").groupBy(F.col("a").alias("name")).agg(F.array_sort(F.collect_set("idl")).alias("have"))
     e = _entities(kg, type).select("name").join(have, "name", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
     out = e.select("name", F.array_except(F.array(*[F.lit(x) for x in want]).cast("array<string>"), F.col("have")).alias("missing"), "have")
     return _top(out, top_n, F.desc(F.size("missing")), "name")
@@ -328,7 +331,7 @@ recommended_merges = merge_candidates
 def review_queue(kg: KnowledgeGraph, top_n: int = 20) -> DataFrame:
     """Organisations with neighbours, every one of which is an identifier."""
     org = kg.entities.filter("label = 'Organization'").select(F.col("name").alias("a"))
-    e = kg.undirected.select("a", "b").join(org, "a", "left_semi").join(_labels(kg, "b", "bl"), "b")
+    e = kg.ends.select("a", "b").join(org, "a", "left_semi").join(_labels(kg, "b", "bl"), "b")
     g = e.groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("degree"), F.sum(S.is_identifier(F.col("bl")).cast("long")).alias("ids")).filter("degree = ids")
     return _top(g.select("name", "degree", F.lit("shell_signal").alias("flag")), top_n, F.desc("degree"), "name")
 
@@ -336,17 +339,23 @@ def review_queue(kg: KnowledgeGraph, top_n: int = 20) -> DataFrame:
 def circular_ownership(kg: KnowledgeGraph, rel_type: str = "OWNS", max_edges: int = 6, top_n: int = 20) -> DataFrame:
     """Directed cycles of 2 to max_edges edges, one row a rotation; edges are not used twice.
 
-    A walk is dropped as soon as its end cannot close the cycle, so walks stay near their start.
+    Edges that lie on no cycle are trimmed first, as far as a few rounds see; a cycle is then two walks of half
+    its length that meet at both ends, so no walk is longer than half a cycle.
     """
     e = kg.relations.filter((F.col("rel_type") == rel_type) & (F.col("src") != F.col("tgt"))).select("src", "tgt", "rel_id")
+    for _ in range(2):
+        e = e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
+    e = reliable_checkpoint(e.select("src", "tgt", "rel_id"))
     step = e.select(F.col("src").alias("at"), F.col("tgt").alias("to"), F.col("rel_id").alias("via"))
-    walks = e.select(F.col("src").alias("start"), F.col("tgt").alias("at"), F.array("src", "tgt").alias("cycle"), F.array("rel_id").alias("used"))
+    walks = {1: e.select(F.col("src").alias("start"), F.col("tgt").alias("at"), F.array("src", "tgt").alias("path"), F.array("rel_id").alias("used"))}
+    for n in range(2, (max_edges + 1) // 2 + 1):
+        longer = walks[n - 1].join(step, "at").filter(~F.array_contains("used", F.col("via")))
+        walks[n] = longer.select("start", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("used", F.array("via")).alias("used"))
     found = None
-    for _ in range(2, max_edges + 1):
-        walks = walks.join(step, "at").filter(~F.array_contains("used", F.col("via"))).select(
-            "start", F.col("to").alias("at"), F.concat("cycle", F.array("to")).alias("cycle"), F.concat("used", F.array("via")).alias("used")
-        )
-        closed = walks.filter("start = at").select("cycle")
+    for n in range(2, max_edges + 1):
+        back = walks[n // 2].select(F.col("at").alias("start"), F.col("start").alias("at"), F.col("path").alias("path2"), F.col("used").alias("used2"))
+        both = walks[n - n // 2].join(back, ["start", "at"]).filter(~F.arrays_overlap("used", "used2"))
+        closed = both.select(F.concat("path", F.slice("path2", 2, n)).alias("cycle"))
         found = closed if found is None else found.union(closed)
     return _top(found, top_n, F.desc(F.size("cycle")), "cycle")
 
@@ -356,7 +365,7 @@ def circular_ownership(kg: KnowledgeGraph, rel_type: str = "OWNS", max_edges: in
 
 def issue_resolution_stats(kg: KnowledgeGraph) -> DataFrame:
     res = kg.entities.filter("label = 'Resolution'").select(F.col("name").alias("b"))
-    done = kg.undirected.filter((F.col("rel_type") == "RESOLVED_BY") & S.live(F.col("polarity"))).join(res, "b", "left_semi").select(F.col("a").alias("name")).distinct().withColumn("ok", F.lit(1))
+    done = kg.ends.filter((F.col("rel_type") == "RESOLVED_BY") & S.live(F.col("polarity"))).join(res, "b", "left_semi").select(F.col("a").alias("name")).distinct().withColumn("ok", F.lit(1))
     g = kg.entities.filter("label = 'Issue'").select("name").join(done, "name", "left").agg(F.count(F.lit(1)).alias("total_issues"), F.count("ok").alias("resolved"))
     rate = F.when(F.col("total_issues") > 0, F.round(F.col("resolved") / F.col("total_issues"), 4)).otherwise(F.lit(0.0))
     return g.select("total_issues", "resolved", (F.col("total_issues") - F.col("resolved")).alias("unresolved"), rate.alias("resolution_rate"))
@@ -372,9 +381,7 @@ def communication_stats(kg: KnowledgeGraph, name: str | None = None, top_n: int
 
 def numeric_rollup(kg: KnowledgeGraph, counterparty: str | None = None, top_n: int = 20) -> DataFrame:
     """Sums of the numbers in the names of neighbouring amounts."""
-    e = kg.undirected.select(F.col("a").alias("counterparty"), F.col("b").alias("name"))
-    if counterparty is not None:
-        e = e.filter(F.col("counterparty") == counterparty)
+    e = (kg.ends if counterparty is None else _edges_of(kg, counterparty)).select(F.col("a").alias("counterparty"), F.col("b").alias("name"))
     e = e.join(kg.entities.filter("label = 'Amount'").select("name"), "name").withColumn("v", S.parse_amount(F.col("name"))).filter("v IS NOT NULL")
     g = e.groupBy("counterparty").agg(F.round(F.sum("v"), 2).alias("total"), F.count(F.lit(1)).alias("count"))
     return _top(g, top_n, F.desc("total"), "counterparty")

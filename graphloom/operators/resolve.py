@@ -299,3 +299,128 @@ def activity_timings(log: DataFrame) -> DataFrame:
     end = log.filter("kind IN ('COMPLETED', 'FAILED', 'TIMED_OUT', 'CANCELED')").groupBy(*k, "attempt").agg(F.min("ts").alias("ended"), F.first("kind").alias("outcome"))
     j = sch.join(sta, k).join(end, [*k, "attempt"], "left")
     return j.select(*k, "activity", "attempt", "outcome", F.greatest(F.col("started") - F.col("scheduled"), F.lit(0)).alias("wait"), F.greatest(F.col("ended") - F.col("started"), F.lit(0)).alias("run"))
+
+
+def nearest_stored(items: DataFrame, stored: DataFrame, k: int = 10, floor: float = COSINE_FLOOR, bands: int = 32, bits: int = 8, seed: int = 5) -> DataFrame:
+    """(a, b, cosine): for each item the k nearest stored entities of its label, through random-hyperplane bands.
+
+    items and stored: name, label, embedding. A pair meets if it falls on the same side of all hyperplanes of some band
+    (at a cosine of 0.85 with a probability over 0.99), and is then compared exactly; no label is compared as a whole.
+    """
+
+    def keys(df: DataFrame, name: str, vec: str) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            planes: dict[int, np.ndarray] = {}
+            for s in it:
+                out = []
+                for v in s:
+                    x = np.asarray([] if v is None else v, np.float64)
+                    if not len(x):
+                        out.append([])
+                        continue
+                    if len(x) not in planes:
+                        planes[len(x)] = np.random.default_rng(seed).standard_normal((bands * bits, len(x)))
+                    sides = (planes[len(x)] @ x > 0).reshape(bands, bits)
+                    out.append((np.packbits(sides, axis=1, bitorder="little")[:, 0].astype(np.int64) + np.arange(bands) * 256).tolist())
+                yield pd.Series(out)
+
+        return df.select(F.col("name").alias(name), "label", F.col("embedding").alias(vec), F.explode(run("embedding")).alias("band"))
+
+    met = keys(items, "a", "va").join(keys(stored, "b", "vb"), ["label", "band"]).filter("a <> b").select("a", "b", "va", "vb").dropDuplicates(["a", "b"])
+    near = met.select("a", "b", S.cosine(F.col("va"), F.col("vb")).alias("cosine")).filter(F.col("cosine") >= floor)
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).filter(F.col("k") <= k).drop("k")
+
+
+def consolidate_phones(entities: DataFrame) -> DataFrame:
+    """(canonical, name, mention_count): phone entities by their E.164 form; the name most mentioned stands for the group."""
+    digits = F.regexp_replace("name", r"\D", "")
+    plus = F.trim("name").startswith("+")
+    e164 = F.when(plus & F.length(digits).between(10, 15), F.concat(F.lit("+"), digits)).when((F.length(digits) == 11) & digits.rlike("^[78]"), F.concat(F.lit("+7"), F.substring(digits, 2, 10))).when((F.length(digits) == 10) & digits.rlike("^[3489]"), F.concat(F.lit("+7"), digits))
+    p = entities.filter("label = 'PhoneNumber'").withColumn("canonical", e164).filter("canonical IS NOT NULL")
+    return p.groupBy("canonical").agg(F.max_by("name", F.struct(F.coalesce("mention_count", F.lit(0)), F.col("name"))).alias("name"), F.sum(F.coalesce("mention_count", F.lit(0))).alias("mention_count"))
+
+
+def duplicate_identifiers(entities: DataFrame) -> DataFrame:
+    """(name, canonical): identifiers that differ only in case, spaces and signs, each with the one that it is merged into (most mentioned, then the smaller name)."""
+    i = entities.filter(S.is_identifier(F.col("label"))).withColumn("key", F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}@.+]", ""))
+    best = i.groupBy("label", "key").agg(F.min_by("name", F.struct(-F.coalesce("mention_count", F.lit(0)), F.col("name"))).alias("canonical"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return i.join(best, ["label", "key"]).filter("name <> canonical").select("name", "canonical")
+
+
+def events_to_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extracted events as (entities labelled EventOrAction, PARTICIPATED_IN relations from the event to each participant).
+
+    events: event_type, trigger, participants (array), start, end, precision, chunk. Events without a type and a trigger are left out; the
+    name tells type, trigger and chunk, so that events of different chunks stay apart until they are merged.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    e = events.filter((said("event_type") != "") & (said("trigger") != "")).withColumn("name", F.concat_ws(" ", said("event_type"), said("trigger"), F.concat(F.lit("["), F.col("chunk"), F.lit("]"))))
+    nodes = e.select("name", F.lit("EventOrAction").alias("label"), "event_type", F.col("start").alias("event_start_epoch"), F.col("end").alias("event_end_epoch"), F.col("precision").alias("event_ts_precision"), F.array("chunk").alias("source_chunks"))
+    ends = e.select(F.col("name").alias("src"), F.explode(F.array_distinct(F.transform("participants", lambda x: F.trim(x)))).alias("tgt"), "chunk").filter("tgt <> ''")
+    return nodes, ends.select("src", "tgt", F.lit("PARTICIPATED_IN").alias("rel_type"), F.lit(1.0).alias("weight"), F.array("chunk").alias("source_chunks"))
+
+
+def split_events(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, events): events do not take part in entity resolution."""
+    event = F.coalesce(F.col("label") == "EventOrAction", F.lit(False))
+    return entities.filter(~event), entities.filter(event)
+
+
+def link_canonical(mentions: DataFrame, aliases: DataFrame, items: DataFrame, auto: float = 0.9) -> DataFrame:
+    """(surface, label, qid, how): mentions linked to stored items by an exact alias, else by the nearest vector if it is near and of the same script.
+
+    mentions: surface, label, embedding; aliases: surface, label, qid; items: name, label, qid, embedding. Others get a null qid.
+    """
+    a = aliases.groupBy("surface", "label").agg(F.min("qid").alias("by_alias"))
+    near = nearest_stored(mentions.select(F.concat(F.lit("m "), F.col("surface")).alias("name"), "label", "embedding"), items.select(F.concat(F.lit("i "), F.col("name")).alias("name"), "label", "embedding"), 1, auto)
+    near = near.select(F.substring("a", 3, 1 << 20).alias("surface"), F.substring("b", 3, 1 << 20).alias("name")).join(items.select("name", F.col("label").alias("l"), F.col("qid").alias("by_vector")), "name")
+    same = (S.script_of(F.col("surface")) == S.script_of(F.col("name"))) & (S.script_of(F.col("name")) != "mixed")
+    near = near.filter(same).groupBy("surface", F.col("l").alias("label")).agg(F.min("by_vector").alias("by_vector"))
+    j = mentions.select("surface", "label").distinct().join(a, ["surface", "label"], "left").join(near, ["surface", "label"], "left")
+    how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_vector").isNotNull(), "vector")
+    return j.select("surface", "label", F.coalesce("by_alias", "by_vector").alias("qid"), how.alias("how"))
+
+
+def split_windows(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, position, text): windows of whole lines of up to ``most`` characters for translation; a longer line is a window of its own pieces.
+
+    Joining a document's windows gives its text back.
+    """
+    piece = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("line") - 1) / most).cast("int"))), lambda i: F.substring(F.col("line"), i * most + 1, F.lit(most)))
+    lines = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=\n)").alias("lines"))
+    each = lines.select("id", F.posexplode("lines").alias("p", "line")).select("id", "p", F.posexplode(piece).alias("q", "part"))
+    parts = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "q", "part"))).alias("parts"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def add(acc, x):
+        fits = F.length(acc["now"]) + F.length(x["part"]) <= most
+        return F.struct(F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), F.when(fits, F.concat(acc["now"], x["part"])).otherwise(x["part"]).alias("now"))
+
+    packed = parts.select("id", F.aggregate("parts", start, add, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))).alias("w"))
+    return packed.select(F.col("id").alias(id_col), F.posexplode("w").alias("position", "text"))
+
+
+def split_semantic(sentences: DataFrame, percentile: float = 0.95, id_col: str = "doc_id") -> DataFrame:
+    """(id, chunk, text): sentences (id, position, text, embedding) packed into chunks that end where the next sentence is further away than the document's percentile of such distances."""
+    w = Window.partitionBy(id_col).orderBy("position")
+    d = sentences.withColumn("far", 1 - S.cosine(F.col("embedding"), F.lead("embedding").over(w)))
+    cut = d.groupBy(id_col).agg(F.percentile("far", F.lit(percentile)).alias("limit"))
+    d = d.join(cut, id_col).withColumn("ends", F.coalesce(F.col("far") > F.col("limit"), F.lit(False)).cast("int"))
+    d = d.withColumn("chunk", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.groupBy(id_col, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def backfill_first_seen(entities: DataFrame) -> DataFrame:
+    """Entities without a stamp get 0, which lies in no window of days."""
+    return entities.withColumn("created_at", F.coalesce("created_at", F.lit(0)))
+
+
+def assemble_chunks(chunks: DataFrame, entities: DataFrame, relations: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
+    """One row a chunk: (chunk_id, entities, relations, identifiers), each sorted; what was extracted from a chunk, ready to be stored with it."""
+    e = entities.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("name", "label"))).alias("entities"))
+    r = relations.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("src", "rel_type", "tgt"))).alias("relations"))
+    out = chunks.select("chunk_id").join(e, "chunk_id", "left").join(r, "chunk_id", "left")
+    if identifiers is not None:
+        out = out.join(identifiers.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("type", "canonical"))).alias("identifiers")), "chunk_id", "left")
+    return out

@@ -126,3 +126,51 @@ def looks_russian(text):
     """At least six of ten letters are Cyrillic."""
     cyr, all_ = F.regexp_count(text, F.lit(r"[а-яёА-ЯЁ]")), F.regexp_count(text, F.lit(r"\p{L}"))
     return (all_ > 0) & (cyr >= 0.6 * all_)
+
+
+def child_context(kg: KnowledgeGraph, community_id: str, level: int, most: int = 20) -> DataFrame:
+    """(id, title, summary, member_count) of the communities below one, the largest first; those with a summary tell about it in its place."""
+    below = kg.parent_of.filter((F.col("parent_id") == community_id) & (F.col("level") == level + 1)).select(F.col("child_id").alias("id"))
+    c = kg.communities.filter((F.col("level") == level + 1) & (F.trim(F.coalesce("summary", F.lit(""))) != ""))
+    return c.join(below, "id", "left_semi").select("id", "title", "summary", "member_count").orderBy(F.desc("member_count"), "id").limit(most)
+
+
+def report_vectors(reports: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Reports with their vectors, by (id, level)."""
+    return reports.join(vectors.select("id", "level", "embedding"), ["id", "level"], "left")
+
+
+def run_overview(runs: DataFrame, key: str = "workflow") -> DataFrame:
+    """(key, runs, one column a status, mean and longest seconds), by name; runs that have not ended have no duration."""
+    took = F.col("ended") - F.col("started")
+    by = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), *[by(s) for s in ("running", "completed", "failed")], F.avg(took).alias("mean"), F.max(took).alias("longest")).orderBy(key)
+
+
+def run_steps(log: DataFrame, run_id) -> DataFrame:
+    """The steps of one run in order: (step, activity, started, seconds, status)."""
+    s = log.filter(F.col("run_id") == run_id)
+    return s.select("step", "activity", "started", (F.col("ended") - F.col("started")).alias("seconds"), "status").orderBy("step")
+
+
+# Fixed value: characters that a stored chunk's text may have.
+MAX_STORED_CHARS = 64_000
+
+
+def truncate_texts(chunks: DataFrame, text: str = "text", most: int = MAX_STORED_CHARS) -> DataFrame:
+    """Texts cut to what the vector store takes, with ``truncated``; null stays null."""
+    return chunks.withColumns({"truncated": F.coalesce(F.length(text) > most, F.lit(False)), text: F.substring(text, 1, most)})
+
+
+def entity_mirror(old: DataFrame, entities: DataFrame) -> DataFrame:
+    """The flat copy of the entities after an upsert by name: (name, label, description, mention_count)."""
+    from graphloom.sources.sinks import upsert
+
+    return upsert(old, entities.select("name", "label", "description", "mention_count"), ["name"])
+
+
+def augment_block(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, block): one line a type with its canonical forms, sorted, to be put before a text that goes to extraction."""
+    e = spans.select(id_col, F.explode("identifiers").alias("x")).select(id_col, "x.type", "x.canonical").distinct()
+    line = e.groupBy(id_col, "type").agg(F.concat_ws(": ", F.col("type"), F.array_join(F.array_sort(F.collect_set("canonical")), ", ")).alias("line"))
+    return line.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("block"))

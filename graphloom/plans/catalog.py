@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.operators import graph as G
 from graphloom.operators import primitives as P
+from graphloom.operators.search import is_trend_question
 from graphloom.plans.kg import KnowledgeGraph
 
 MAX_STEPS = 3
@@ -106,6 +107,13 @@ def parse_plan(text: str, labels: tuple[str, ...] = (), max_steps: int = MAX_STE
     return out[:max_steps]
 
 
+def trend_fallback(question: str, **given: Any) -> list[PrimitiveCall]:
+    """Steps for a question about trends that no plan was found for: what is mentioned most and what is new; none for other questions."""
+    if not is_trend_question(question):
+        return []
+    return [PrimitiveCall(n, {k: v for k, v in given.items() if k in CATALOG[n].params}) for n in ("top_entities_by_mentions", "new_events") if n in CATALOG]
+
+
 @dataclass(frozen=True)
 class Step:
     primitive: str
@@ -114,12 +122,12 @@ class Step:
     error: str | None = None
 
 
-def execute(kg: KnowledgeGraph, calls: list[PrimitiveCall]) -> list[Step]:
-    """Runs the steps in turn; a failed step says so and does not stop the others. Every primitive's rows are bounded by its cut."""
+def execute(kg: KnowledgeGraph, calls: list[PrimitiveCall], most: int = 10_000) -> list[Step]:
+    """Runs the steps in turn; a failed step says so and does not stop the others. A step's first ``most`` rows are taken."""
     out = []
     for c in calls:
         try:
-            out.append(Step(c.primitive, c.params, [r.asDict(recursive=True) for r in run(c.primitive, kg, **c.params).collect()]))
+            out.append(Step(c.primitive, c.params, [r.asDict(recursive=True) for r in run(c.primitive, kg, **c.params).limit(most).collect()]))
         except Exception as e:  # noqa: BLE001
             out.append(Step(c.primitive, c.params, [], str(e)))
     return out

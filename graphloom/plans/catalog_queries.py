@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import functools
+import dataclasses
+
+from pyspark.sql import functions as F
 
 from graphloom.operators import primitives as P
 from graphloom.plans.kg import KG_SQL, KnowledgeGraph
@@ -14,7 +16,7 @@ SUP, CUST, PART, USER = "Supplier#000000003", "Customer#000000007", "Part#5", "U
 
 
 def primitive(key: str, sql: str, fn, /, **params) -> None:
-    register(key, KG_SQL + sql)(lambda spark, sf_dir: fn(KnowledgeGraph.from_tables(spark, sf_dir), **params))
+    register(key, KG_SQL + sql)(lambda spark, sf_dir: fn(KnowledgeGraph.stored(spark, sf_dir), **params))
 
 
 _NOTID = "label NOT IN (SELECT t FROM idt)"
@@ -40,12 +42,12 @@ primitive(
 )
 primitive(
     "conn_entity_dossier",
-    f"""SELECT e.name, e.label, e.label || ' ' || e.name AS description, e.mention_count,
-    (SELECT list(struct_pack(rel := rel_type, name := b, ntype := label, w := weight) ORDER BY weight DESC, b, rel_id) FROM (
-      SELECT rel_type, b, label, weight, rel_id FROM u JOIN entities n ON n.name = u.b WHERE a = '{CUST}' AND {_LIVE} AND {_NOTID} ORDER BY weight DESC, b, rel_id LIMIT 25)) AS neighbors,
-    (SELECT list(struct_pack(id_type := label, value := b) ORDER BY label, b) FROM (SELECT label, b FROM u JOIN entities n ON n.name = u.b WHERE a = '{CUST}' AND NOT {_NOTID} ORDER BY 1, 2 LIMIT 25)) AS identifiers,
-    (SELECT list(struct_pack(level := c.level, title := title) ORDER BY c.level, title) FROM in_community i JOIN communities c ON i.community_id = c.id AND i.level = c.level WHERE i.name = '{CUST}') AS communities
-    FROM entities e WHERE name = '{CUST}'""",
+    f""", own AS MATERIALIZED (SELECT rel_type, b, weight, rel_id, polarity, label FROM u JOIN entities n ON n.name = u.b WHERE a = '{CUST}'),
+    nb AS (SELECT * FROM own WHERE {_LIVE} AND {_NOTID} ORDER BY weight DESC, b, rel_id LIMIT 25), ids AS (SELECT label, b FROM own WHERE NOT {_NOTID} ORDER BY 1, 2 LIMIT 25),
+    x AS (SELECT list(struct_pack(rel := rel_type, name := b, ntype := label, w := weight) ORDER BY weight DESC, b, rel_id) AS neighbors FROM nb),
+    y AS (SELECT list(struct_pack(id_type := label, value := b) ORDER BY label, b) AS identifiers FROM ids),
+    z AS (SELECT list(struct_pack(level := c.level, title := title) ORDER BY c.level, title) AS communities FROM in_community i JOIN communities c ON i.community_id = c.id AND i.level = c.level WHERE i.name = '{CUST}')
+    SELECT e.name, e.label, e.label || ' ' || e.name AS description, e.mention_count, neighbors, identifiers, communities FROM (SELECT * FROM entities WHERE name = '{CUST}') e, x, y, z""",
     P.entity_dossier,
     name=CUST,
 )
@@ -188,18 +190,36 @@ primitive(
     expected=("Amount", "OrderNumber", "Email"),
     top_n=200,
 )
-for _n in ("qual_merge_candidates", "sig_recommended_merges"):
-    primitive(
+
+
+def _shouted(spark, sf_dir):
+    """The graph with every person under a second name in capitals, so that there is something to merge."""
+    kg = KnowledgeGraph.stored(spark, sf_dir)
+    people = kg.entities.filter("label = 'Person'").withColumn("name", F.upper("name"))
+    return dataclasses.replace(kg, entities=kg.entities.union(people))
+
+
+for _n, _f in (("qual_merge_candidates", P.merge_candidates), ("sig_recommended_merges", P.recommended_merges)):
+    register(
         _n,
-        f"SELECT lower(trim(name)) AS key, list_sort(list(name)) AS names, count(*) AS count FROM entities WHERE {_NOTID} GROUP BY 1 HAVING count(*) > 1 ORDER BY 3 DESC, 1 LIMIT 20",
-        P.merge_candidates,
-    )
-primitive(
+        KG_SQL + f"""SELECT lower(trim(name)) AS key, list_sort(list(name)) AS names, count(*) AS count FROM (SELECT name, label FROM entities UNION ALL SELECT upper(name), label FROM entities WHERE label = 'Person')
+        WHERE {_NOTID} GROUP BY 1 HAVING count(*) > 1 ORDER BY 3 DESC, 1 LIMIT 20""",
+    )(lambda spark, sf_dir, f=_f: f(_shouted(spark, sf_dir)))
+
+
+@register(
     "sig_review_queue",
-    """SELECT a AS name, count(*) AS degree, 'shell_signal' AS flag FROM u JOIN entities o ON u.a = o.name AND o.label = 'Organization' JOIN entities n ON n.name = u.b
+    KG_SQL + """, ent AS (SELECT name, CASE label WHEN 'Person' THEN 'Organization' ELSE label END AS label FROM entities), v AS (SELECT * FROM u WHERE rel_type IN ('PARTY_OF', 'AMOUNT_OF'))
+    SELECT a AS name, count(*) AS degree, 'shell_signal' AS flag FROM v JOIN ent o ON v.a = o.name AND o.label = 'Organization' JOIN ent n ON n.name = v.b
     GROUP BY 1 HAVING count(*) = count(*) FILTER (WHERE n.label IN (SELECT t FROM idt)) ORDER BY 2 DESC, 1 LIMIT 20""",
-    P.review_queue,
 )
+def _review_queue(spark, sf_dir):
+    """Customers as organisations that are linked to orders and amounts alone."""
+    kg = KnowledgeGraph.stored(spark, sf_dir)
+    ent = kg.entities.withColumn("label", F.when(F.col("label") == "Person", "Organization").otherwise(F.col("label")))
+    return P.review_queue(dataclasses.replace(kg, entities=ent, relations=kg.relations.filter("rel_type IN ('PARTY_OF', 'AMOUNT_OF')")))
+
+
 primitive(
     "sig_circular_ownership",
     """, o AS (SELECT src, tgt, rel_id FROM relations WHERE rel_type = 'OWNS')

@@ -178,11 +178,11 @@ def _rrf(spark, sf):
     return R.rrf(one("p_retailprice").union(one("p_size")))
 
 
-_HITS = "SELECT l_partkey AS chunk_id, l_suppkey % 5 AS block, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS q FROM lineitem WHERE l_suppkey < 20"
+_HITS = "SELECT l_partkey AS chunk_id, l_suppkey % 5 AS block, l_orderkey * 10 + l_linenumber AS pos, l_quantity AS q FROM lineitem"
 
 
 def _hits(spark, sf):
-    return t(spark, sf, "lineitem").filter("l_suppkey < 20").select(F.col("l_partkey").alias("chunk_id"), (F.col("l_suppkey") % 5).alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return t(spark, sf, "lineitem").select(F.col("l_partkey").alias("chunk_id"), (F.col("l_suppkey") % 5).alias("block"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
 
 
 @register("ret_merge_first_wins", f"SELECT chunk_id, min(struct_pack(b := block, p := pos)).b AS block, min(struct_pack(b := block, p := pos)).p AS pos FROM ({_HITS}) GROUP BY 1")
@@ -222,7 +222,12 @@ def _overlap(spark, sf):
     return R.communities_by_overlap(KnowledgeGraph.from_tables(spark, sf).communities, "Parties in Europe and China", 10).select("id", "title", "overlap")
 
 
-@register("ret_communities_by_descent")
+@register(
+    "ret_communities_by_descent",
+    KG_SQL + """, c AS (SELECT id, level, title, member_count, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')), ['parties', 'in', 'europe', 'and', 'china'])) AS overlap
+    FROM communities), top AS (SELECT * FROM c WHERE level = 0 ORDER BY overlap DESC, member_count DESC, id LIMIT 5)
+    SELECT c.id, c.title, c.overlap FROM c JOIN (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS up FROM nation) x ON x.id = c.id JOIN top ON top.id = x.up ORDER BY c.overlap DESC, c.member_count DESC, c.id LIMIT 5""",
+)
 def _descent(spark, sf):
     k = KnowledgeGraph.from_tables(spark, sf)
     return R.communities_by_descent(k.communities, k.parent_of, "Parties in Europe and China", 5).select("id", "title", "overlap")
@@ -354,8 +359,20 @@ def _id_query(kind: str, name: str, pattern: str):
 
 
 _id_query("Email", "id_email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")
-_id_query("UUID", "id_uuid", r"(?i)\b[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\b")
-_id_query("MACAddress", "id_mac", r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b")
+
+
+def _made_ids(kind: str, name: str, spark_pattern: str, duck_pattern: str, width: int):
+    """Identifiers made of the events' hashes (letters alone, so that no number is found in them), in a sentence of their own."""
+
+    @register(name, f"SELECT event_id AS doc_id, regexp_replace(substr(translate(md5(event_id::VARCHAR), '0123456789', 'abcdefabcd'), 1, {width}), {duck_pattern}) AS canonical FROM events")
+    def run(spark, sf):
+        made = F.regexp_replace(F.substring(F.translate(F.md5(F.col("event_id").cast("string")), "0123456789", "abcdefabcd"), 1, width), *spark_pattern)
+        docs = t(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("the node "), F.upper(made), F.lit(" is up")).alias("text"))
+        return I.dedupe_by_canonical(I.with_identifiers(docs)).filter(F.col("type") == kind).select("doc_id", "canonical")
+
+
+_made_ids("UUID", "id_uuid", ("^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), r"'^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5'", 32)
+_made_ids("MACAddress", "id_mac", ("^(..)(..)(..)(..)(..)(..)$", "$1:$2:$3:$4:$5:$6"), r"'^(..)(..)(..)(..)(..)(..)$', '\1:\2:\3:\4:\5:\6'", 12)
 
 
 @register("id_all_types")

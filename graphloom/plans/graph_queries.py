@@ -13,16 +13,17 @@ from graphloom.plans.catalog_queries import CUST, TODAY
 from graphloom.plans.kg import KG_SQL, KnowledgeGraph
 from graphloom.plans.registry import register
 
-kg = KnowledgeGraph.from_tables
-_TYPES = ("SUPPLIES", "OWNS", "MEMBER_OF")
+kg = KnowledgeGraph.stored
+#: Production rounds of the rank iterations.
+PAGERANK_ROUNDS, EIGENVECTOR_ROUNDS = 20, 30
 _GRAPH_SQL = """,
-g AS (SELECT least(src, tgt) AS a, greatest(src, tgt) AS b, sum(coalesce(weight, 1.0)) AS w FROM relations WHERE src <> tgt AND rel_type IN ('SUPPLIES', 'OWNS', 'MEMBER_OF') GROUP BY 1, 2),
-bo AS (SELECT a, b, w FROM g UNION ALL SELECT b, a, w FROM g), tot AS (SELECT a, sum(w) AS t FROM bo GROUP BY 1), sh AS (SELECT bo.a, b, w / t AS p FROM bo JOIN tot ON bo.a = tot.a),
-nm AS (SELECT DISTINCT a AS name FROM bo)"""
+g AS MATERIALIZED (SELECT least(src, tgt) AS a, greatest(src, tgt) AS b, sum(coalesce(weight, 1.0)) AS w FROM relations WHERE src <> tgt GROUP BY 1, 2),
+bo AS MATERIALIZED (SELECT a, b, w FROM g UNION ALL SELECT b, a, w FROM g), tot AS (SELECT a, sum(w) AS t FROM bo GROUP BY 1), sh AS MATERIALIZED (SELECT bo.a, b, w / t AS p FROM bo JOIN tot ON bo.a = tot.a),
+nm AS MATERIALIZED (SELECT DISTINCT a AS name FROM bo)"""
 
 
-def _graph(k: KnowledgeGraph, types=_TYPES):
-    return G.build_graph(k.relations.filter(F.col("rel_type").isin(*types)))
+def _graph(k: KnowledgeGraph, types=None):
+    return G.build_graph(k.relations if types is None else k.relations.filter(F.col("rel_type").isin(*types)))
 
 
 def _rank_sql(start: str, rounds: int) -> str:
@@ -32,40 +33,40 @@ def _rank_sql(start: str, rounds: int) -> str:
     return out
 
 
-_PR = _rank_sql("SELECT name, 1.0 / (SELECT count(*) FROM nm) AS v FROM nm", 4)
-_PPR = _rank_sql("SELECT name, CASE WHEN name IN ('Supplier#000000003', 'Supplier#000000005') THEN 0.5 ELSE 0.0 END AS v FROM nm", 4)
+_PR = _rank_sql("SELECT name, 1.0 / (SELECT count(*) FROM nm) AS v FROM nm", PAGERANK_ROUNDS)
+_PPR = _rank_sql("SELECT name, CASE WHEN name IN ('Supplier#000000003', 'Supplier#000000005') THEN 0.5 ELSE 0.0 END AS v FROM nm", PAGERANK_ROUNDS)
 
 
-@register("central_pagerank", KG_SQL + _PR + " SELECT name, score FROM r4 ORDER BY round(score, 12) DESC, name LIMIT 20")
+@register("central_pagerank", KG_SQL + _PR + " SELECT name, score FROM r20 ORDER BY round(score, 12) DESC, name LIMIT 20")
 def _pagerank(spark, sf):
-    return G.pagerank(_graph(kg(spark, sf)), iterations=4).orderBy(F.desc(F.round("score", 12)), "name").limit(20)
+    return G.pagerank(_graph(kg(spark, sf))).orderBy(F.desc(F.round("score", 12)), "name").limit(20)
 
 
-@register("comm_personalized_pagerank", KG_SQL + _PPR + " SELECT name, score FROM r4 ORDER BY round(score, 12) DESC, name LIMIT 20")
+@register("comm_personalized_pagerank", KG_SQL + _PPR + " SELECT name, score FROM r20 ORDER BY round(score, 12) DESC, name LIMIT 20")
 def _ppr(spark, sf):
-    r = G.pagerank(_graph(kg(spark, sf)), seeds=["Supplier#000000003", "Supplier#000000005", "no such node"], iterations=4)
+    r = G.pagerank(_graph(kg(spark, sf)), seeds=["Supplier#000000003", "Supplier#000000005", "no such node"])
     return r.orderBy(F.desc(F.round("score", 12)), "name").limit(20)
 
 
 @register(
     "comm_top_central_entities",
-    KG_SQL + _PR + " SELECT r4.name, score FROM r4 JOIN entities e ON e.name = r4.name AND label = 'Organization' ORDER BY round(score, 12) DESC, 1 LIMIT 20",
+    KG_SQL + _PR + " SELECT r20.name, score FROM r20 JOIN entities e ON e.name = r20.name AND label = 'Organization' ORDER BY round(score, 12) DESC, 1 LIMIT 20",
 )
 def _central(spark, sf):
     k = kg(spark, sf)
-    scores = G.pagerank(_graph(k), iterations=4).select("name", F.round("score", 12).alias("pagerank"))
+    scores = G.pagerank(_graph(k)).select("name", F.round("score", 12).alias("pagerank"))
     return P.top_central_entities(dataclasses.replace(k, scores=scores), "pagerank", "Organization")
 
 
 _EIG = _GRAPH_SQL + ", x0 AS (SELECT name, 1.0::DOUBLE AS score FROM nm)"
-for _i in range(4):
-    _EIG += f""", y{_i} AS (SELECT x.name, x.score + f.s AS score FROM x{_i} x JOIN (SELECT bo.b, sum(r.score * w) AS s FROM bo JOIN x{_i} r ON r.name = bo.a GROUP BY 1) f ON f.b = x.name),
+for _i in range(EIGENVECTOR_ROUNDS):
+    _EIG += f""", y{_i} AS MATERIALIZED (SELECT x.name, x.score + f.s AS score FROM x{_i} x JOIN (SELECT bo.b, sum(r.score * w) AS s FROM bo JOIN x{_i} r ON r.name = bo.a GROUP BY 1) f ON f.b = x.name),
     x{_i + 1} AS (SELECT name, score / (SELECT max(score) FROM y{_i}) AS score FROM y{_i})"""
 
 
-@register("central_eigenvector", KG_SQL + _EIG + " SELECT name, score FROM x4 ORDER BY round(score, 12) DESC, name LIMIT 20")
+@register("central_eigenvector", KG_SQL + _EIG + " SELECT name, score FROM x30 ORDER BY round(score, 12) DESC, name LIMIT 20")
 def _eigen(spark, sf):
-    return G.eigenvector(_graph(kg(spark, sf)), iterations=4).orderBy(F.desc(F.round("score", 12)), "name").limit(20)
+    return G.eigenvector(_graph(kg(spark, sf))).orderBy(F.desc(F.round("score", 12)), "name").limit(20)
 
 
 _COMP = r"""WITH RECURSIVE e AS (SELECT s_name AS a, (SELECT y.s_name FROM supplier y WHERE y.s_suppkey = CASE WHEN x.s_suppkey = (SELECT max(z.s_suppkey) FROM supplier z WHERE z.s_suppkey // 4 = x.s_suppkey // 4)
@@ -116,13 +117,13 @@ def _walk(spark, sf):
 
 @register(
     "graph_degree_stats",
-    KG_SQL + """, g AS (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM relations WHERE src <> tgt AND rel_type IN ('OWNS', 'MEMBER_OF')),
-    d AS (SELECT name, count(x) AS d FROM (SELECT DISTINCT name FROM entities WHERE label IN ('Organization', 'Person', 'Location')) LEFT JOIN (SELECT a AS x FROM g UNION ALL SELECT b FROM g) ON name = x GROUP BY 1)
+    KG_SQL + """, g AS (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM relations WHERE src <> tgt),
+    d AS (SELECT name, count(x) AS d FROM (SELECT DISTINCT name FROM entities) LEFT JOIN (SELECT a AS x FROM g UNION ALL SELECT b FROM g) ON name = x GROUP BY 1)
     SELECT count(*) AS nodes, (sum(d) / 2)::BIGINT AS edges, avg(d) AS avg_degree, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.99) AS p99, max(d) AS max_degree FROM d""",
 )
 def _degrees(spark, sf):
     k = kg(spark, sf)
-    return G.degree_stats(_graph(k, ("OWNS", "MEMBER_OF")), k.entities.filter(F.col("label").isin("Organization", "Person", "Location")))
+    return G.degree_stats(_graph(k), k.entities)
 
 
 def _baskets(spark, sf):
@@ -150,12 +151,13 @@ def _links(spark, sf):
 
 @register("graph_betweenness")
 def _between(spark, sf):
-    return G.betweenness(_graph(kg(spark, sf), ("OWNS",)))
+    """Of organisations, persons and places: exact betweenness of all relation types takes a search from every node (see the README)."""
+    return G.betweenness(_graph(kg(spark, sf), ("OWNS", "MEMBER_OF")))
 
 
 @register("graph_communities")
 def _communities(spark, sf):
-    return G.community_levels(G.louvain(_graph(kg(spark, sf), ("OWNS", "PARTICIPATED_IN"))))[0]
+    return G.community_levels(G.communities(_graph(kg(spark, sf))))[0]
 
 
 _RISK = KG_SQL + f""", nb AS (SELECT a, b, polarity, u.created_at, label IN (SELECT t FROM idt) AS bid FROM u JOIN entities n ON n.name = u.b),

@@ -6,12 +6,18 @@ every branch of a union has its label or relation type as a literal.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import shared_dir
+
+#: Where a session has written the graph of a folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
 
 @dataclass(frozen=True)
 class KnowledgeGraph:
@@ -34,6 +40,27 @@ class KnowledgeGraph:
         back = r.filter("src <> tgt").withColumnsRenamed({"src": "b", "tgt": "a"}).select(*there.columns)
         return there.union(back)
 
+    @cached_property
+    def ends(self) -> DataFrame:
+        """The same rows from one pass over the relations, for reads that are not about one entity."""
+        here, back = F.struct(F.col("src").alias("a"), F.col("tgt").alias("b")), F.struct(F.col("tgt").alias("a"), F.col("src").alias("b"))
+        r = self.relations.withColumn("__ends", F.explode(F.when(F.col("src") == F.col("tgt"), F.array(here)).otherwise(F.array(here, back))))
+        return r.select("__ends.a", "__ends.b", *[c for c in self.relations.columns if c not in ("src", "tgt")])
+
+    @classmethod
+    def stored(cls, spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
+        """The graph with entities and relations written to the shared folder, by label and type, once a session and folder."""
+        kg = cls.from_tables(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _STORED:
+            path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+            kg.entities.write.partitionBy("label").parquet(f"{path}/entities")
+            kg.relations.drop("source_chunks").write.partitionBy("rel_type").parquet(f"{path}/relations")
+            _STORED[key] = path
+        read = lambda name, like: spark.read.schema(like.schema).parquet(f"{_STORED[key]}/{name}").select(*like.columns)
+        relations = read("relations", kg.relations.drop("source_chunks"))
+        return replace(kg, entities=read("entities", kg.entities), relations=relations.withColumn("source_chunks", F.array(F.col("first_doc_id"))))
+
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
         t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

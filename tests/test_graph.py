@@ -40,24 +40,28 @@ def test_pagerank_matches_power_iteration(spark, seeds):
     x = t.copy()
     for _ in range(8):
         x = 0.15 * t + 0.85 * (m / m.sum(axis=1)[:, None]).T @ x
-    got = dict(rows(G.pagerank(graph_of(spark, e), seeds=seeds, iterations=8)))
-    assert np.allclose([got[n] for n in names], x, atol=1e-9) and abs(sum(got.values()) - 1) < 1e-9
+    for local in (4_000_000, 0):
+        got = dict(rows(G.pagerank(graph_of(spark, e), seeds=seeds, iterations=8, local_edges=local)))
+        assert np.allclose([got[n] for n in names], x, atol=1e-9) and abs(sum(got.values()) - 1) < 1e-9
 
 
 def test_pagerank_of_isolated_nodes_and_unknown_seeds(spark):
     g = graph_of(spark, [("a", "b", 1)])
     nodes = spark.createDataFrame([("z",)], "name string")
-    got = dict(rows(G.pagerank(g, nodes, iterations=6)))
-    assert set(got) == {"a", "b", "z"} and abs(sum(got.values()) - 1) < 1e-9
-    assert G.pagerank(g, seeds=["nobody"]).count() == 0
+    for local in (4_000_000, 0):
+        got = dict(rows(G.pagerank(g, nodes, iterations=6, local_edges=local)))
+        assert set(got) == {"a", "b", "z"} and abs(sum(got.values()) - 1) < 1e-9
+        assert G.pagerank(g, seeds=["nobody"], local_edges=local).count() == 0
+    assert G.pagerank(g.limit(0)).count() == 0 and G.eigenvector(g.limit(0)).count() == 0
 
 
 def test_eigenvector(spark):
     e = [("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "d", 1)]
     names, m = matrix(e)
     v = np.linalg.eigh(m)[1][:, -1]
-    got = dict(rows(G.eigenvector(graph_of(spark, e), iterations=12)))
-    assert np.allclose([got[n] for n in names], np.abs(v) / np.abs(v).max(), atol=2e-2)
+    for local in (4_000_000, 0):
+        got = dict(rows(G.eigenvector(graph_of(spark, e), iterations=12, local_edges=local)))
+        assert np.allclose([got[n] for n in names], np.abs(v) / np.abs(v).max(), atol=2e-2)
 
 
 def test_components_match_union_find(spark):
@@ -90,11 +94,13 @@ def test_paths_and_walks(spark):
     assert sorted(rows(edges)) == [("a", "Q", "x"), ("a", "R", "b"), ("b", "R", "c")]
 
 
-def test_betweenness_matches_brute_force(spark):
-    e = random_edges(7, 10, 0.3)
+@pytest.mark.parametrize("weighted", [False, True])
+def test_betweenness_matches_brute_force(spark, weighted):
+    e = random_edges(7, 10, 0.3) + [("p", "q", 2), ("q", "r", 2)]
     names, m = matrix(e)
     n = len(names)
-    dist = np.where(m > 0, 1.0, np.inf)
+    step = np.where(m > 0, m if weighted else 1.0, np.inf)
+    dist = step.copy()
     np.fill_diagonal(dist, 0)
     for k in range(n):
         dist = np.minimum(dist, dist[:, [k]] + dist[[k], :])
@@ -103,9 +109,9 @@ def test_betweenness_matches_brute_force(spark):
         paths[s, s] = 1
         for v in sorted(range(n), key=lambda v: dist[s, v]):
             if v != s and np.isfinite(dist[s, v]):
-                paths[s, v] = sum(paths[s, u] for u in range(n) if m[u, v] > 0 and dist[s, u] == dist[s, v] - 1)
+                paths[s, v] = sum(paths[s, u] for u in range(n) if m[u, v] > 0 and dist[s, u] + step[u, v] == dist[s, v])
     want = [sum(paths[s, v] * paths[v, t] / paths[s, t] for s in range(n) for t in range(s) if v not in (s, t) and np.isfinite(dist[s, t]) and dist[s, v] + dist[v, t] == dist[s, t]) for v in range(n)]
-    got = dict(rows(G.betweenness(graph_of(spark, e))))
+    got = dict(rows(G.betweenness(graph_of(spark, e), weighted=weighted)))
     assert np.allclose([got[x] for x in names], want)
     with pytest.raises(ValueError):
         G.betweenness(graph_of(spark, e), max_edges=1)
@@ -124,10 +130,42 @@ def test_node_similarity_matches_brute_force(spark):
 def test_two_cliques_split(spark):
     e = [(a, b, 5) for g in ("abc", "xyz") for a, b in itertools.combinations(g, 2)] + [("c", "x", 0.1)]
     g = graph_of(spark, e)
-    m = G.louvain(g)
-    top = {n: ids[0] for n, ids in rows(m)}
-    assert len({top[x] for x in "abc"}) == len({top[x] for x in "xyz"}) == 1 and top["a"] != top["x"]
+    m = G.communities(g)
+    few = {"max_rounds": 4, "max_levels": 2}
+    assert sorted(rows(G.communities(g, **few))) == sorted(rows(G.communities(g, **few, local_edges=0)))
+    top = {n: ids[-1] for n, ids in rows(m)}
+    assert top == {**dict.fromkeys("abc", "a"), **dict.fromkeys("xyz", "x")}
     levels, _ = G.community_levels(m)
-    assert {(r["id"], r["member_count"]) for r in levels.filter("level = 0").collect()} >= {("a", 3), ("x", 3)}
+    assert {(r["id"], r["member_count"]) for r in levels.filter("level = 0").collect()} == {("a", 3), ("x", 3)}
     label = spark.createDataFrame(list(top.items()), "name string, label string")
     assert G.modularity(g, label) > 0.45
+
+
+def test_communities_hold_every_node_are_connected_and_gain(spark):
+    r = random.Random(11)
+    e = {}
+    for i in range(60):  # four groups of fifteen with few edges between, a path and a pair beside them
+        for j in range(i):
+            if r.random() < (0.5 if i // 15 == j // 15 else 0.02):
+                e[f"n{j:02d}", f"n{i:02d}"] = 1.0
+    e |= {(f"p{i}", f"p{i + 1}"): 1.0 for i in range(6)} | {("x", "y"): 3.0}
+    g = graph_of(spark, [(a, b, w) for (a, b), w in e.items()])
+    got = dict(rows(G.communities(g)))
+    assert set(got) == {x for p in e for x in p} and len({len(ids) for ids in got.values()}) == 1
+    top = {n: ids[-1] for n, ids in got.items()}
+    for level in range(len(next(iter(got.values())))):
+        groups = {}
+        for n, ids in got.items():
+            groups.setdefault(ids[level], set()).add(n)
+        for c, names in groups.items():
+            seen, todo = set(), [c]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [b if a == x else a for a, b in e if x in (a, b) and {a, b} <= names]
+            assert seen == names and c == min(names)
+    true = {n: n if n[0] != "n" else f"g{int(n[1:]) // 15}" for n in top} | dict.fromkeys((f"p{i}" for i in range(7)), "p") | {"x": "x", "y": "x"}
+    q = lambda label: G.modularity(g, spark.createDataFrame(list(label.items()), "name string, label string"))
+    assert q(top) > q(true) - 0.02
+    assert G.communities(g.limit(0)).count() == 0
