@@ -26,7 +26,7 @@ def parse_claims(replies: DataFrame, raw: str = "raw") -> DataFrame:
 def parse_verdict(raw: Column) -> Column:
     """CONTRADICT, AGREE or NEUTRAL; a reply that names both contradicts, null is neutral."""
     low = F.upper(F.coalesce(raw, F.lit("")))
-    return F.when(low.contains("CONTRADICT"), "CONTRADICT").when(low.rlike(r"\\bAGREE"), "AGREE").otherwise("NEUTRAL")
+    return F.when(low.contains("CONTRADICT"), "CONTRADICT").when(low.rlike(r"\bAGREE"), "AGREE").otherwise("NEUTRAL")
 
 
 def refine(contradictions: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from graphloom.session import reliable_checkpoint
 # Thresholds of entity resolution.
 COSINE_FLOOR, COSINE_FLOOR_BARE, TOKEN_FLOOR, AUTO_MERGE = 0.55, 0.70, 0.5, 0.85
 HUB_SIZE, VERIFY_SIZE = 12, 3
+#: Claims that are clustered in one task at most.
+MAX_CLAIMS = 200_000
 
 
 def merge_entities(nodes: DataFrame) -> DataFrame:
@@ -242,7 +244,13 @@ def unchanged(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_col
 
 
 def greedy_clusters(claims: DataFrame, floor: float = 0.83, key: str | None = None) -> DataFrame:
-    """(id, cluster) in the order of ``pos``: a claim joins the first seed it is near enough to, else it becomes one; by ``key`` if given."""
+    """(id, cluster) in the order of ``pos``: a claim joins the first seed it is near enough to, else it becomes one; by ``key`` if given.
+
+    The order makes this one task a key: give a key (such as the subject) for more claims than a task holds. Without one,
+    more than MAX_CLAIMS raise.
+    """
+    if key is None and claims.limit(MAX_CLAIMS + 1).count() > MAX_CLAIMS:
+        raise ValueError(f"more than {MAX_CLAIMS} claims without a key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -404,7 +412,8 @@ def split_windows(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", tex
 def split_semantic(sentences: DataFrame, percentile: float = 0.95, id_col: str = "doc_id") -> DataFrame:
     """(id, chunk, text): sentences (id, position, text, embedding) packed into chunks that end where the next sentence is further away than the document's percentile of such distances."""
     w = Window.partitionBy(id_col).orderBy("position")
-    d = sentences.withColumn("far", 1 - S.cosine(F.col("embedding"), F.lead("embedding").over(w)))
+    d = sentences.withColumn("next", F.lead("embedding").over(w))
+    d = d.withColumn("far", F.when(F.col("next").isNotNull(), 1 - S.cosine(F.col("embedding"), F.col("next"))))
     cut = d.groupBy(id_col).agg(F.percentile("far", F.lit(percentile)).alias("limit"))
     d = d.join(cut, id_col).withColumn("ends", F.coalesce(F.col("far") > F.col("limit"), F.lit(False)).cast("int"))
     d = d.withColumn("chunk", F.coalesce(F.sum("ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

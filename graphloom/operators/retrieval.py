@@ -141,10 +141,13 @@ def weigh_groups(scored: DataFrame, weights: dict[str, float], score: str = "sco
     return scored.withColumn("weighted", S.sigmoid(F.col(score)) * w).orderBy(F.desc("weighted"))
 
 
-def append_unranked(ranked: DataFrame, pool: DataFrame, key: str = "chunk_id", pos: str = "pos") -> DataFrame:
-    """(key, place): the ranked ones in their order, then the rest of the pool in its own."""
+def append_unranked(ranked: DataFrame, pool: DataFrame, key: str = "chunk_id", pos: str = "pos", limit: int = 10_000) -> DataFrame:
+    """(key, place): the ranked ones in their order, then the rest of the pool in its own, ``limit`` in all.
+
+    The first ``limit`` are picked in parallel, so only they are numbered in one task.
+    """
     rest = pool.join(ranked.select(key), key, "left_anti").select(key, F.lit(1).alias("part"), F.col(pos).alias("o"))
-    both = ranked.select(key, F.lit(0).alias("part"), F.col("rank").alias("o")).union(rest)
+    both = ranked.select(key, F.lit(0).alias("part"), F.col("rank").alias("o")).union(rest).orderBy("part", "o", key).limit(limit)
     return both.withColumn("place", F.row_number().over(Window.orderBy("part", "o", key))).select(key, "place")
 
 
@@ -153,9 +156,8 @@ def distinct_documents(sources: DataFrame, limit: int, doc: str = "doc_id", pos:
 
 
 def evidence_blob(sources: DataFrame, text: str = "text", pos: str = "pos", most: int = 12_000) -> DataFrame:
-    """All texts in order, cut to so many characters; only as many leading rows are gathered as can fill them."""
-    upto = F.sum(F.length(text) + 2).over(Window.orderBy(pos, text).rowsBetween(Window.unboundedPreceding, -1))
-    lead = sources.withColumn("__u", F.coalesce(upto, F.lit(0))).filter(F.col("__u") < most)
+    """All texts in order, cut to so many characters. A text takes a character and its separator at least, so the first ``most`` texts fill them."""
+    lead = sources.select(pos, F.substring(text, 1, most).alias(text)).orderBy(pos, text).limit(most)
     return lead.agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda x: x[text]), "\n\n"), 1, most).alias("blob"))
 
 

@@ -75,7 +75,7 @@ def retrieve(
     q = questions.select(F.col("question_id").alias("vec_id"), "embedding")
     near = R.knn_join(q, live.select(F.col("chunk_id").alias("vec_id"), "embedding"), k)
     by_vector = near.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), F.lit("vector").alias("via"), "rank")
-    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.trim(F.col("text")), r"[\\s,;?!()]+"))).alias("entity_name"))
+    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.trim(F.col("text")), r"[\s,;?!()]+"))).alias("entity_name"))
     named = kg.mentions.join(words, "entity_name").join(live.select("chunk_id"), "chunk_id", "left_semi")
     named = named.groupBy("question_id", "chunk_id").agg(F.countDistinct("entity_name").alias("n"))
     ranked = named.groupBy("question_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "chunk_id"))), 1, k).alias("top"))
