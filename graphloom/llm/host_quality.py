@@ -195,6 +195,7 @@ def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     verdicts = hosts.select(F.col("host").alias("__quality_key"), F.col("host_rate").alias("__quality_rate"), F.col("host_rejected").alias("__quality_bad"))
     joined = rows.join(F.broadcast(verdicts) if k <= BROADCAST_ROWS else verdicts, F.col(host_col).eqNullSafe(F.col("__quality_key")), "left")
     gone = _verdict(F.col(m), p, F.col("__quality_soft"), F.col("__quality_rate"), F.col("__quality_bad"))
-    # one number over both verdicts: a condition of its own for the base rule would be pushed below the join and measure the text a second time
+    # one number over both verdicts, which may be null for all that the optimiser knows: a condition of its own for the base
+    # rule, or for its not being null, would be pushed below the join and measure the text a second time
     faults = F.col("__quality_base").cast("int") + gone.cast("int") * F.when(F.col("__quality_rate").isNotNull(), 1).otherwise(0)
-    return joined.filter(faults == 0).select(*[F.col(f"`{c}`") for c in names])
+    return joined.filter(F.coalesce(faults, F.lit(1)) == 0).select(*[F.col(f"`{c}`") for c in names])
