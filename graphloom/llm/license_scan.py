@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 #: Base phrases (in words) and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -137,7 +136,7 @@ SIGNATURES = (
     ("epl-1", "body", 0.9, 88, ("eclipse public license",), r"made available under the terms of the eclipse public license v1 0"),
     ("cddl-1", "body", 0.9, 88, ("common development",), r"the contents of this file are subject to the terms of the common development and distribution license"),
     ("unlicense", "body", 0.9, 90, ("unencumbered",), r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "body", 0.9, 90, ("do what the",), r"you just do what the [^ ]+ you want to"),
+    ("wtfpl", "body", 0.9, 90, ("you just do what the",), r"you just do what the [^ ]+ you want to"),
     ("zlib", "body", 0.9, 90, ("misrepresented",), r"the origin of this software must not be misrepresented"),
     ("zlib", "body", 0.6, 60, ("express or implied",), r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("boost-1", "body", 0.9, 90, ("boost software license",), r"boost software license version 1 0 august 17th 2003"),
@@ -256,19 +255,24 @@ def _keyed_rules() -> tuple[tuple[Rule, tuple[frozenset[str], ...]], ...]:
 
 
 @lru_cache(maxsize=1)
-def _gate() -> re.Pattern:
-    """Finds a word in every text that a rule or base phrase can match: the longest word of its most telling keyword.
+def _gate() -> tuple[tuple[str, ...], ...]:
+    """Groups of words: a text that a rule or base phrase can match holds all words of some group.
 
-    Single words, so that it holds whatever stands between them.
+    Of each rule's keywords the longest one (the least likely to occur by chance) gives its words; they are looked for one by one, so it does
+    not matter what stands between them.
     """
-    longest = lambda k: max(k.split(), key=len)
-    words = set()
+    groups = {tuple(phrase.split()) for phrase, _ in BASE}
     for r in rules():
-        told = [[longest(k) for k in ks.split("|")] for ks in r.keywords]
-        words.update(max(told, key=lambda ws: min(map(len, ws))))
-    words.update(longest(phrase) for phrase, _ in BASE)
-    # a word that holds another is found by that one
-    return re.compile("|".join(sorted(re.escape(w) for w in words if not any(v != w and v in w for v in words))))
+        groups.update(tuple(k.split()) for k in max((ks.split("|") for ks in r.keywords), key=lambda alts: min(map(len, alts))))
+    # a group that contains another is found by that one
+    wide = lambda g, h: g != h and all(any(x in w for w in g) for x in h)
+    groups = [g for g in groups if not any(wide(g, h) and not (wide(h, g) and g < h) for h in groups)]
+    # the longest word first: it is missing most often
+    return tuple(sorted(tuple(sorted(set(g), key=lambda w: (-len(w), w))) for g in groups))
+
+
+def _possible(low: str) -> bool:
+    return any(all(w in low for w in g) for g in _gate())
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -303,10 +307,11 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
 def scan(text: str | None) -> dict:
     """n_words, base places, labels, score and detections (in words) of one text."""
-    low = (text or "").translate(_LOWER)
+    # bytes have lower case for A-Z alone
+    low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     words = WORD.findall(low)
     out = {"n_words": len(words), "base": [], "found": [], "score": 0.0}
-    if not words or not _gate().search(low):
+    if not words or not _possible(low):
         return out
     line = " ".join(words)
     spaces = [m.start() for m in re.finditer(" ", line)]
