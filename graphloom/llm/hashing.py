@@ -8,11 +8,15 @@ import xxhash
 _P1, _P2, _P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+#: Words that a worker remembers at most; frequent ones are soon there again.
+WORDS = 100_000
+
+
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered; emptied at a million words, so its memory is bounded."""
+    """Word (bytes) -> 64-bit hash, remembered; emptied at WORDS words (some 20 MB a worker), so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
