@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from graphloom.session import reliable_checkpoint
 
 
+#: Edges that one file of a round's state holds, about.
+EDGES_PER_FILE = 100_000
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,13 +33,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     clean = lambda e: e.filter("a <> b").distinct()
     now = reliable_checkpoint(clean(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))))
-    mark = None
+    mark, n = None, now.count()
     for _ in range(max_rounds):
-        now = reliable_checkpoint(clean(_small_star(clean(_large_star(now)))))
+        # a round's edges lie in as many files as they need, not in one a shuffle partition
+        now = reliable_checkpoint(clean(_small_star(clean(_large_star(now)))).coalesce(max(1, -(-n // EDGES_PER_FILE))))
         x = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(x) == mark:
             break
-        mark = tuple(x)
+        mark, n = tuple(x), x[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
