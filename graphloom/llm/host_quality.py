@@ -129,7 +129,7 @@ def host_verdicts(judged: DataFrame, host: str, base: str, soft: str, p: Quality
     hosts = reliable_checkpoint(
         judged.groupBy(F.col(host).alias("host")).agg(
             F.count(F.lit(1)).alias("n_docs"), F.sum((F.col(base) | F.col(soft)).cast("long")).alias("n_failed")
-        )
+        ).coalesce(8)
     )
     rate = F.col("n_failed") / F.col("n_docs")
     s = hosts.agg(

@@ -270,7 +270,7 @@ def _set_classes(docs: DataFrame, id_col: str, text_col: str, p: SketchParams) -
     )
     classes = reliable_checkpoint(classes)
     # a set is named by its smallest id; where that names two sets (repeated ids) or none (null ids), by its hash
-    twice = reliable_checkpoint(classes.filter("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep"))
+    twice = classes.filter("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep")
     n_twice = twice.count()
     own = F.coalesce("rep", F.xxhash64("h1", "h2"))
     if n_twice:
@@ -334,7 +334,7 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sketched, named = _set_classes(docs, id_col, text_col, params or SketchParams())
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t"))
-    rows = reliable_checkpoint(sketched.filter("n > 0").join(named.select("h1", "h2", "comp"), ["h1", "h2"]).select("comp", order.alias("key")))
+    rows = sketched.filter("n > 0").join(named.select("h1", "h2", "comp"), ["h1", "h2"]).select("comp", order.alias("key"))
     first = rows.groupBy("comp").agg(F.min("key").alias("first"))
     marked = rows.join(first, "comp").groupBy("key").agg(F.first(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     marked = reliable_checkpoint(marked.filter("NOT stays OR rows > 1").select(F.col("key.id").alias("__dup_id"), F.col("key.t").alias("__dup_t"), "stays"))

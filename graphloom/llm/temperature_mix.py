@@ -44,7 +44,7 @@ def count_tokens(text: Column) -> Column:
 
 def source_weights(rows: DataFrame, source: str, tokens: str, p: MixParams) -> tuple[DataFrame, float, int, float]:
     """(source, n_docs, n_tokens, weight, repeat), the exponent, the number of sources and the rows of the mix."""
-    src = reliable_checkpoint(rows.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(tokens).alias("n_tokens")))
+    src = reliable_checkpoint(rows.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(tokens).alias("n_tokens")).coalesce(8))
     live = src.filter("n_tokens > 0")
     t = live.agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.min("n_tokens").alias("lo"), F.max("n_tokens").alias("hi")).first()
     total, k = float(t["t"] or 0), t["k"]
@@ -136,7 +136,7 @@ def _plan(rows: DataFrame, source: str, p: MixParams) -> tuple[DataFrame, DataFr
     weights, _, k, n_out = source_weights(rows, source, "__mix_tokens", p)
     n = weights.agg(F.sum("n_docs")).first()[0] or 0
     size = max(p.block_docs, math.ceil(n / p.max_blocks))
-    cutoffs = reliable_checkpoint(_cutoffs(_placed(rows, weights, k, source, F.col("__mix_key"), size, p.seed), "__mix_tokens"))
+    cutoffs = reliable_checkpoint(_cutoffs(_placed(rows, weights, k, source, F.col("__mix_key"), size, p.seed), "__mix_tokens").coalesce(8))
     return weights, cutoffs, k, k + math.ceil(n / size), size, n_out
 
 
