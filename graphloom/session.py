@@ -53,6 +53,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder. Unlike a checkpoint it carries no constraints of its plan, which
     grow with every round of a loop that joins and renames."""
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """:func:`written`, and where the table lies, for a caller that discards it."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes tables of :func:`stored` that no later plan reads."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
