@@ -140,3 +140,64 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.line_templates import drop_recurring_lines
 
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_piece_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.piece_bpe import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS bad FROM labels GROUP BY 1),
+b AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS f, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+m AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM b GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS ord FROM x p, x q, x r, x s, x u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+k AS (SELECT ord, unnest(range(1, 6)) AS step FROM o),
+g AS (SELECT part, ord, step, f[ord[step]] AS fails, len(list_filter(ord[1:step - 1], lambda z: f[z])) > 0 AS gone, len(list_filter(f, lambda z: z)) = 1 AS single, n, good, bad FROM m, k),
+a AS (SELECT part, ord, step, sum(n) FILTER (WHERE NOT fails AND NOT gone) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed, sum(n) FILTER (WHERE fails AND gone) AS redundant,
+  sum(n) FILTER (WHERE fails AND single) AS unique_fails, sum(good) FILTER (WHERE fails AND NOT gone) AS good_lost, sum(bad) FILTER (WHERE fails AND NOT gone) AS toxic_lost FROM g GROUP BY 1, 2, 3)
+SELECT part, array_to_string(list_transform(ord, lambda z: 'ABCDE'[z]), '') AS filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, ord[step]), 0)::BIGINT AS shapley FROM a
+"""
+
+
+@_query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    near = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))"
+    out = """WITH raw AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+k AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(e, lambda x: floor(256 * x)::HUGEINT) AS v FROM raw WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM k ORDER BY 1, 2 LIMIT 40))"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT rid, (min((d, c))).c AS c, (min((d, c))).d AS d FROM (SELECT rid, {{'d': {near}, 'c': c}} AS p FROM k, c{r}) GROUP BY rid)"""
+        out = out.replace("(min((d, c))).c AS c, (min((d, c))).d AS d", "min(p).c AS c, min(p).d AS d")
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM k JOIN a{r} USING (rid), range(1, 65) AS u(i) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(list((s - ((s % n) + n) % n) // n ORDER BY i) FILTER (WHERE n IS NOT NULL), any_value(w)) AS w FROM c{r} LEFT JOIN s{r} USING (c) GROUP BY c)"""
+    return out + f"""
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256 FROM k JOIN a{rounds} USING (rid) JOIN c{rounds} USING (c)
+"""
+
+
+@_query("op13_sort_means", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.sort_means import cluster_digest
+
+    return cluster_digest(table(spark, sf_dir, "embeddings"))
