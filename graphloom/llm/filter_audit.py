@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 FILTERS = "ABCDE"
 #: Bytes of texts that a map task compares among themselves before it sends them on.
 HELD_BYTES = 64 << 20
+#: Bytes of texts that a partition sorts, about.
+ROUTED_BYTES = 128 << 20
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -107,9 +109,15 @@ def _settle(records: Iterable[tuple]) -> Iterator[tuple[int | None, int, str, in
 
 
 def failed_masks(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, mask, part, n): of every document the filters it fails (bit 0: A, ... bit 4: E), rows alike counted in n."""
+    """(doc_id, mask, part, n): of every document the filters it fails (bit 0: A, ... bit 4: E), rows alike counted in n.
+
+    Texts go to as many partitions as hold ``ROUTED_BYTES`` each, whatever the session's number is, so that a partition sorts in memory.
+    """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        held = docs.agg(F.sum(F.octet_length(F.col(text_col)) + F.lit(100))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // ROUTED_BYTES))
+    n = partitions
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), F.col(source_col).cast("string")).rdd
     routed: RDD = rows.mapPartitions(_outgoing).repartitionAndSortWithinPartitions(n, lambda key: key[0] % n)
     return spark.createDataFrame(routed.mapPartitions(_settle), "doc_id long, mask int, part string, n long", verifySchema=False)
