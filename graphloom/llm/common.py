@@ -32,3 +32,10 @@ def words_of(text: Column) -> Column:
 def small_join(left: DataFrame, right: DataFrame, on, rows: int, how: str = "left") -> DataFrame:
     """Join to ``right`` of a counted number of rows: broadcast below the bound, else by shuffle (AQE splits skew)."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+
+
+def clear_of(df: DataFrame, stem: str) -> str:
+    """``stem``, lengthened until no column of ``df`` starts with it, in whatever case: a prefix for helper columns."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem += "_"
+    return stem

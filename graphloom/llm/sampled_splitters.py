@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import clear_of
 from graphloom.session import reliable_checkpoint
 
 H, TIE, SIZE = "__shard_h", "__shard_tie", "__shard_size"
@@ -148,11 +149,18 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A row's size is its UTF-8 bytes and 1; null text has size 1; null ids are placed like any other;
     repeated rows are placed one by one (which of them comes first is not defined, their values are
-    equal); an empty table gives an empty result. Columns of the input named ``shard`` or ``slot`` are
+    equal); an empty table gives an empty result. Columns of the input named ``shard`` or ``slot``, in any case, are
     replaced; all others stay as they are.
     """
     p = params or ShardParams()
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    # names are told apart without case, as Spark does; a column called like a helper waits under another name
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    aside = {c: f"{clear_of(docs, '__aside_')}{i}" for i, c in enumerate(own) if c.lower().startswith("__shard_")}
+    if aside:
+        named = docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in own])
+        back = assign_shards(named, aside.get(id_col, id_col), aside.get(text_col, text_col), p)
+        return back.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in own], "shard", "slot")
+    names = own
     keyed = _keyed(docs, id_col, text_col)
     plan = _plan(reliable_checkpoint(keyed.select(H, TIE, SIZE)), p)
     kept = [F.col(f"`{c}`") for c in names]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BROADCAST_ROWS
+from graphloom.llm.common import BROADCAST_ROWS, clear_of
 from graphloom.llm.hashing import scramble, shingle_hashes, word_hashes
 from graphloom.operators.components import connected_components
 from graphloom.session import reliable_checkpoint
@@ -336,15 +336,17 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("t").alias("t"))
     rows = sketched.filter("n > 0").join(named.select("h1", "h2", "comp"), ["h1", "h2"]).select("comp", order.alias("key"))
     first = rows.groupBy("comp").agg(F.min("key").alias("first"))
-    marked = rows.join(first, "comp").groupBy("key").agg(F.first(F.col("key") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    marked = reliable_checkpoint(marked.filter("NOT stays OR rows > 1").select(F.col("key.id").alias("__dup_id"), F.col("key.t").alias("__dup_t"), "stays"))
+    x = clear_of(docs, "__dup_")
+    stays = f"{x}stays"
+    marked = rows.join(first, "comp").groupBy("key").agg(F.first(F.col("key") == F.col("first")).alias(stays), F.count(F.lit(1)).alias("rows"))
+    marked = reliable_checkpoint(marked.filter(F.expr(f"NOT `{stays}` OR rows > 1")).select(F.col("key.id").alias(f"{x}id"), F.col("key.t").alias(f"{x}t"), stays))
     n = marked.count()
     if not n:
         return docs
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__dup_key": F.col(id_col).cast("long"), "__dup_hash": F.xxhash64(F.col(text_col))})
-    met = keyed.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, F.col("__dup_key").eqNullSafe(F.col("__dup_id")) & (F.col("__dup_hash") == F.col("__dup_t")), "left")
-    alone = met.filter("stays IS NULL").select(*names)
-    if marked.filter("stays").isEmpty():
+    keyed = docs.withColumns({f"{x}key": F.col(id_col).cast("long"), f"{x}hash": F.xxhash64(F.col(text_col))})
+    met = keyed.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, F.col(f"{x}key").eqNullSafe(F.col(f"{x}id")) & (F.col(f"{x}hash") == F.col(f"{x}t")), "left")
+    alone = met.filter(F.col(stays).isNull()).select(*names)
+    if marked.filter(F.col(stays)).isEmpty():
         return alone
-    return alone.union(met.filter("stays").dropDuplicates(["__dup_key", "__dup_hash"]).select(*names))
+    return alone.union(met.filter(F.col(stays)).dropDuplicates([f"{x}key", f"{x}hash"]).select(*names))
