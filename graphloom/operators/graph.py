@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,12 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.operators.betweenness import sampled_betweenness  # noqa: F401
 from graphloom.operators.components import connected_components
+from graphloom.operators.leiden import communities  # noqa: F401
+from graphloom.operators.ranks import both_ways, eigenvector, pagerank  # noqa: F401
 from graphloom.plans.kg import KnowledgeGraph
-from graphloom.session import reliable_checkpoint, written
-
-#: Iterations between two looks at the convergence.
-CHECK_EVERY = 5
+from graphloom.session import reliable_checkpoint
 
 
 def build_graph(relations: DataFrame) -> DataFrame:
@@ -30,120 +29,6 @@ def build_graph(relations: DataFrame) -> DataFrame:
     )
 
 
-def _both(graph: DataFrame) -> DataFrame:
-    return graph.select("a", "b", "w").union(graph.select(F.col("b"), F.col("a"), "w"))
-
-
-def _edges(graph: DataFrame, local_edges: int, nodes: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """The edges, stored, and whether one task may hold them all."""
-    g = graph.select("a", "b", F.col("w").cast("double").alias("w"))
-    if nodes is not None:
-        g = g.union(nodes.select("name", F.lit(None).cast("string"), F.lit(None).cast("double")))
-    g = reliable_checkpoint(g)
-    return g, g.limit(local_edges + 1).count() <= local_edges
-
-
-def _in_one_task(g: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]) -> DataFrame:
-    """(name, score) by a kernel over (ends, other ends, weights, number of nodes, names); both directions of every edge."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(it), ignore_index=True)
-        codes, names = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
-        a, b = codes[: len(pdf)], codes[len(pdf) :]
-        real = b >= 0
-        src, dst = np.concatenate([a[real], b[real]]), np.concatenate([b[real], a[real]])
-        w = np.tile(pdf["w"].to_numpy(np.float64)[real], 2)
-        yield pd.DataFrame({"name": names, "score": kernel(src, dst, w, len(names), np.asarray(names))})
-
-    return g.coalesce(1).mapInPandas(run, "name string, score double")
-
-
-def pagerank(
-    graph: DataFrame, nodes: DataFrame | None = None, seeds: list[str] | None = None, damping: float = 0.85, iterations: int = 20, tol: float = 1e-10, local_edges: int = 4_000_000
-) -> DataFrame:
-    """(name, score) summing to 1; with seeds, the walk restarts at them. Seeds that are no nodes are ignored.
-
-    Mass of nodes without edges goes where the walk restarts. Up to ``local_edges`` edges the rounds run as array
-    operations in one task; beyond, the edge table is partitioned by its source once, and each round joins it
-    with the narrow ranks and sums what flows in before the shuffle. Both give the same scores.
-    """
-    g, fits = _edges(graph, local_edges, nodes)
-    if fits:
-        if not g.limit(1).count():
-            return g.select(F.col("a").alias("name"), F.lit(0.0).alias("score"))
-
-        def kernel(src, dst, w, n, names):
-            total = np.bincount(src, weights=w, minlength=n)
-            tp = np.full(n, 1.0 / n) if seeds is None else np.isin(names.astype(str), list(seeds)).astype(np.float64)
-            if not tp.sum():
-                return np.full(n, np.nan)
-            tp /= tp.sum()
-            p, rank = w / total[src], tp.copy()
-            for i in range(iterations):
-                new = (1 - damping) * tp + damping * (np.bincount(dst, weights=rank[src] * p, minlength=n) + rank[total == 0].sum() * tp)
-                moved, rank = np.abs(new - rank).sum(), new
-                if (i + 1) % CHECK_EVERY == 0 and moved < tol:
-                    break
-            return rank
-
-        return _in_one_task(g, kernel).filter("score IS NOT NULL AND NOT isnan(score)")
-    both = _both(g.filter("b IS NOT NULL"))
-    names = g.select(F.col("a").alias("name")).union(g.filter("b IS NOT NULL").select("b")).distinct()
-    out = both.groupBy("a").agg(F.sum("w").alias("total"))
-    share = reliable_checkpoint(both.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")).repartition("a"))
-    base = names.join(out.select(F.col("a").alias("name"), F.lit(True).alias("linked")), "name", "left").withColumn("dangling", F.col("linked").isNull())
-    if seeds is None:
-        n = names.count()
-        base = base.withColumn("tp", F.lit(1.0 / n if n else 0.0))
-    else:
-        known = names.filter(F.col("name").isin(list(seeds))).count()
-        if not known:
-            return names.limit(0).withColumn("score", F.lit(0.0))
-        base = base.withColumn("tp", F.when(F.col("name").isin(list(seeds)), 1.0 / known).otherwise(0.0))
-    base = reliable_checkpoint(base.select("name", "dangling", "tp"))
-    rank = base.select("name", F.col("tp").alias("score"))
-    for i in range(iterations):
-        flow = share.join(rank, F.col("a") == F.col("name")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("score") * F.col("p")).alias("inflow"))
-        lost = base.filter("dangling").join(rank, "name").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        # one row, so the cross join adds a column
-        new = base.crossJoin(F.broadcast(lost)).join(flow, F.col("name") == F.col("to"), "left")
-        new = new.select("name", (F.lit(1 - damping) * F.col("tp") + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") * F.col("tp"))).alias("score"))
-        # ranks are read twice a round, so they are stored: else each round would double the work
-        new = reliable_checkpoint(new)
-        moved = None
-        if (i + 1) % CHECK_EVERY == 0 and i + 1 < iterations:
-            moved = new.alias("n").join(rank.alias("o"), "name").agg(F.sum(F.abs(F.col("n.score") - F.col("o.score")))).first()[0]
-        rank = new
-        if moved is not None and moved < tol:
-            break
-    return rank
-
-
-def eigenvector(graph: DataFrame, iterations: int = 30, local_edges: int = 4_000_000) -> DataFrame:
-    """(name, score), the largest score 1; iterates A + I, so that bipartite graphs do not swing. Sizes as in :func:`pagerank`."""
-    g, fits = _edges(graph, local_edges)
-    if fits:
-        if not g.limit(1).count():
-            return g.select(F.col("a").alias("name"), F.lit(0.0).alias("score"))
-
-        def kernel(src, dst, w, n, names):
-            x = np.ones(n)
-            for _ in range(iterations):
-                x = x + np.bincount(dst, weights=x[src] * w, minlength=n)
-                x /= x.max()
-            return x
-
-        return _in_one_task(g, kernel)
-    both = reliable_checkpoint(_both(g).repartition("a"))
-    x = both.select(F.col("a").alias("name")).distinct().withColumn("score", F.lit(1.0))
-    for _ in range(iterations):
-        flow = both.join(x, F.col("a") == F.col("name")).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
-        y = reliable_checkpoint(x.join(flow, F.col("name") == F.col("to")).select("name", (F.col("score") + F.col("s")).alias("score")))
-        top = F.broadcast(y.agg(F.max("score").alias("top")))
-        x = y.crossJoin(top).select("name", (F.col("score") / F.col("top")).alias("score"))
-    return x
-
-
 def components(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(name, component); nodes without edges are components of their own."""
     c = connected_components(graph).withColumnRenamed("node", "name")
@@ -222,7 +107,7 @@ def graph_walk(
 
 def degree_stats(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes, edges, and the mean, median, 99th percentile and maximum of the degree (nodes without edges count)."""
-    d = _both(graph).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
+    d = both_ways(graph).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("d"))
     all_d = nodes.select("name").distinct().join(d, "name", "left").select(F.coalesce("d", F.lit(0)).alias("d"))
     return all_d.agg(
         F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.avg("d").alias("avg_degree"), F.percentile("d", F.lit(0.5)).alias("p50"),
@@ -312,8 +197,8 @@ def _steps_by_distance(s: int, starts: np.ndarray, nbrs: np.ndarray, w: np.ndarr
 def betweenness(graph: DataFrame, max_edges: int = 2_000_000, sources: int | None = None, weighted: bool = False) -> DataFrame:
     """(name, score): betweenness by Brandes' accumulation, sources dealt over the tasks; with ``weighted``, weights are distances.
 
-    The adjacency goes to every task, so its size is checked: beyond max_edges this raises, and the caller
-    samples ``sources`` (a deterministic choice by hash, scores scaled up) on a smaller graph instead.
+    The adjacency goes to every task, so its size is checked: beyond max_edges this raises; :func:`sampled_betweenness` has
+    no such bound. ``sources`` takes a part of the sources (a deterministic choice by hash, scores scaled up).
     """
     n_edges = graph.limit(max_edges + 1).count()
     if n_edges > max_edges:
@@ -352,144 +237,14 @@ def betweenness(graph: DataFrame, max_edges: int = 2_000_000, sources: int | Non
     return named.join(got, "i", "left").select("name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _move_nodes(both: DataFrame, deg: DataFrame, total: float, gamma: float, max_rounds: int) -> DataFrame:
-    """(name, comm): modularity moves in rounds; in each a half of the nodes, chosen by hash, may join the community of the greatest gain.
-
-    A node alone joins another that is alone only if that one's name is smaller, so that two do not change places.
-    """
-    comm = written(deg.select("name", F.col("name").alias("comm"), "k"))
-    idle = 0
-    for r in range(max_rounds):
-        size = comm.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("n"))
-        links = both.join(comm.select(F.col("name").alias("b"), "comm"), "b").groupBy("a", "comm").agg(F.sum("w").alias("l"))
-        own = comm.select(F.col("name").alias("a"), F.col("comm").alias("here"), "k").join(size.select(F.col("comm").alias("here"), F.col("n").alias("n_here")), "here")
-        x = links.join(size, "comm").join(own, "a")
-        same = F.col("comm") == F.col("here")
-        gain = F.col("l") - gamma * F.col("k") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0.0)) / (2 * total)
-        allowed = same | ~((F.col("n") == 1) & (F.col("n_here") == 1) & (F.col("comm") > F.col("here")))
-        x = x.withColumn("gain", F.round(gain, 9)).filter(allowed)
-        best = x.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("comm"))).alias("best"), F.max(F.when(same, F.col("gain"))).alias("stay"))
-        # without a link into its own community a node's gain there is what leaving costs
-        alone = own.join(size.select(F.col("comm").alias("here"), "tot"), "here").select("a", (-gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * total)).alias("floor"))
-        best = best.join(alone, "a")
-        goes = (-F.col("best.g") > F.coalesce("stay", F.col("floor")) + 1e-9) & (F.shiftright(F.crc32(F.col("a").cast("binary")), r % 32).bitwiseAND(F.lit(1)) == 0)
-        moves = best.filter(goes).select(F.col("a").alias("name"), F.col("best.comm").alias("to"))
-        comm = written(comm.join(moves, "name", "left").select("name", F.coalesce("to", "comm").alias("comm"), "k", F.col("to").isNotNull().alias("moved")))
-        idle = 0 if comm.filter("moved").limit(1).count() else idle + 1
-        comm = comm.drop("moved")
-        # three draws of halves without a move
-        if idle == 3:
-            break
-    return comm.select("name", "comm")
-
-
-def _least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Of each node the smallest one that edges connect it to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _moves_in_task(a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray, bits: np.ndarray, total: float, gamma: float, max_rounds: int) -> np.ndarray:
-    """:func:`_move_nodes` as array operations; codes stand in the order of the names."""
-    n = len(loop)
-    src, dst, w2 = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(w, 2)
-    k = np.bincount(src, weights=w2, minlength=n) + 2 * loop
-    comm, idle = np.arange(n), 0
-    for r in range(max_rounds):
-        tot, cnt = np.bincount(comm, weights=k, minlength=n), np.bincount(comm, minlength=n)
-        key, back = np.unique(src * n + comm[dst], return_inverse=True)
-        x, c, l = key // n, key % n, np.bincount(back, weights=w2)
-        same = c == comm[x]
-        gain = np.round(l - gamma * k[x] * (tot[c] - np.where(same, k[x], 0.0)) / (2 * total), 9)
-        stay = -gamma * k * (tot[comm] - k) / (2 * total)
-        stay[x[same]] = gain[same]
-        ok = same | ~((cnt[c] == 1) & (cnt[comm[x]] == 1) & (c > comm[x]))
-        x, c, gain = x[ok], c[ok], gain[ok]
-        order = np.lexsort((c, -gain, x))
-        first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
-        goes = first[(gain[first] > stay[x[first]] + 1e-9) & (bits[x[first]] >> (r % 32) & 1 == 0)]
-        comm[x[goes]] = c[goes]
-        idle = 0 if len(goes) else idle + 1
-        if idle == 3:
-            break
-    return comm
-
-
-def _communities_in_task(pdf: pd.DataFrame, gamma: float, max_levels: int, max_rounds: int) -> pd.DataFrame:
-    names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]).astype(str), return_inverse=True)
-    n, a, b, w = len(names), codes[: len(pdf)], codes[len(pdf) :], pdf["w"].to_numpy(np.float64)
-    bits = np.array([zlib.crc32(x.encode()) for x in names], np.int64)
-    total, loop, now, levels = w.sum() or 1.0, np.zeros(n), np.arange(n), []
-    left = n
-    for _ in range(max_levels):
-        comm = _moves_in_task(a, b, w, loop, bits, total, gamma, max_rounds)
-        inside = comm[a] == comm[b]
-        to = _least_linked(a[inside], b[inside], n)
-        k = len(np.unique(to[now]))
-        if k == left and levels:
-            break
-        now = to[now]
-        levels.append(now)
-        if k == left:
-            break
-        ta, tb = to[a], to[b]
-        low, high = np.minimum(ta, tb), np.maximum(ta, tb)
-        loop = np.bincount(to, weights=loop, minlength=n) + np.bincount(low[low == high], weights=w[low == high], minlength=n)
-        key, back = np.unique((low * n + high)[low != high], return_inverse=True)
-        a, b, w, left = key // n, key % n, np.bincount(back, weights=w[low != high]), k
-    return pd.DataFrame({"name": names, "ids": [list(names[list(x)]) for x in zip(*levels, strict=True)]})
-
-
-def communities(graph: DataFrame, gamma: float = 1.0, max_levels: int = 10, max_rounds: int = 24, local_edges: int = 4_000_000) -> DataFrame:
-    """(name, ids): community ids from the finest level to the coarsest, by modularity; every node of the graph has a row.
+def betweenness_of_any_size(graph: DataFrame, max_edges: int = 200_000, epsilon: float = 0.02) -> DataFrame:
+    """Exact, with weights as distances, up to ``max_edges`` edges; beyond, from sampled pairs, where every edge is one step.
 
-    Each level moves nodes between communities, splits communities that are not connected into their parts (so every
-    community is connected), and goes on with the communities as nodes, edges summed. Up to ``local_edges`` edges one task
-    does this with arrays; beyond, every step is a join over the edge table. The rules are the same, so the
-    result does not depend on the size. A community's id is its smallest name.
+    The scores of the two are not comparable with each other where weights differ; those of one graph are.
     """
-    edges, fits = _edges(graph, local_edges)
-    if fits:
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if parts := [x for x in it if len(x)]:
-                yield _communities_in_task(pd.concat(parts, ignore_index=True), gamma, max_levels, max_rounds)
-
-        return edges.filter("a <> b").coalesce(1).mapInPandas(run, "name string, ids array<string>")
-    total = edges.agg(F.sum("w")).first()[0] or 1.0
-    loops = edges.select(F.col("a").alias("name")).union(edges.select("b")).distinct().withColumn("loop", F.lit(0.0))
-    members = written(loops.select("name", F.col("name").alias("now"), F.array().cast("array<string>").alias("ids")))
-    n = members.count()
-    for _ in range(max_levels):
-        both = written(_both(edges))
-        flow = both.groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("out"))
-        deg = written(loops.join(flow, "name", "left").select("name", "loop", (F.coalesce("out", F.lit(0.0)) + 2 * F.col("loop")).alias("k")))
-        comm = _move_nodes(both, deg.select("name", "k"), total, gamma, max_rounds)
-        side = lambda c: comm.select(F.col("name").alias(c), F.col("comm").alias(f"c{c}"))  # noqa: B023, E731
-        inside = edges.join(side("a"), "a").join(side("b"), "b").filter("ca = cb")
-        part = connected_components(inside)
-        label = written(deg.join(part, F.col("name") == F.col("node"), "left").select("name", "loop", F.coalesce("component", "name").alias("to")))
-        k = label.select("to").distinct().count()
-        step = label.select(F.col("name").alias("now"), "to")
-        if k == n and members.filter(F.size("ids") > 0).limit(1).count():
-            break
-        members = written(members.join(step, "now").select("name", F.col("to").alias("now"), F.concat("ids", F.array("to")).alias("ids")))
-        if k == n:
-            break
-        end = lambda c: label.select(F.col("name").alias(c), F.col("to").alias(f"t{c}"))  # noqa: B023, E731
-        moved = written(edges.join(end("a"), "a").join(end("b"), "b").groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.sum("w").alias("w")))
-        loops = label.groupBy(F.col("to").alias("name")).agg(F.sum("loop").alias("loop")).join(moved.filter("a = b").select(F.col("a").alias("name"), "w"), "name", "left")
-        loops = written(loops.select("name", (F.col("loop") + F.coalesce("w", F.lit(0.0))).alias("loop")))
-        edges, n = moved.filter("a <> b"), k
-    return members.select("name", "ids")
+    if graph.limit(max_edges + 1).count() <= max_edges:
+        return betweenness(graph, weighted=True)
+    return sampled_betweenness(graph, epsilon)
 
 
 def community_levels(members: DataFrame, min_size: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -505,5 +260,5 @@ def modularity(graph: DataFrame, label: DataFrame, gamma: float = 1.0) -> float:
     m = graph.agg(F.sum("w")).first()[0] or 1.0
     l = label.select("name", "label")
     inside = graph.join(l.select(F.col("name").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("name").alias("b"), F.col("label").alias("lb")), "b").filter("la = lb").agg(F.sum("w")).first()[0] or 0.0
-    deg = _both(graph).join(l, F.col("a") == F.col("name")).groupBy("label").agg(F.sum("w").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
+    deg = both_ways(graph).join(l, F.col("a") == F.col("name")).groupBy("label").agg(F.sum("w").alias("d")).agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
     return inside / m - gamma * deg / (4 * m * m) if not math.isnan(m) else 0.0

@@ -13,13 +13,11 @@ from graphloom.functions import scalars as S
 from graphloom.operators.components import connected_components
 from graphloom.operators.primitives import first_per
 from graphloom.operators.stats import majority
-from graphloom.session import reliable_checkpoint
+from graphloom.session import discard, reliable_checkpoint, stored
 
 # Thresholds of entity resolution.
 COSINE_FLOOR, COSINE_FLOOR_BARE, TOKEN_FLOOR, AUTO_MERGE = 0.55, 0.70, 0.5, 0.85
 HUB_SIZE, VERIFY_SIZE = 12, 3
-#: Claims that are clustered in one task at most.
-MAX_CLAIMS = 200_000
 
 
 def merge_entities(nodes: DataFrame) -> DataFrame:
@@ -243,30 +241,94 @@ def unchanged(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_col
     return h.join(seen.select(id_col, "text_hash"), [id_col, "text_hash"], "left_anti")
 
 
-def greedy_clusters(claims: DataFrame, floor: float = 0.83, key: str | None = None) -> DataFrame:
-    """(id, cluster) in the order of ``pos``: a claim joins the first seed it is near enough to, else it becomes one; by ``key`` if given.
+def _directions(vectors) -> list[np.ndarray]:
+    """Unit vectors; what has no direction (null, empty, zero) is near nothing and stays so."""
+    out = []
+    for v in vectors:
+        x = np.asarray([] if v is None else v, np.float64)
+        out.append(x / max(np.linalg.norm(x), 1e-300))
+    return out
+
+
+def _groups(vectors: list[np.ndarray], keys: list) -> dict[tuple, list[int]]:
+    """The places of the vectors of each key and length."""
+    out: dict[tuple, list[int]] = {}
+    for i, (x, k) in enumerate(zip(vectors, keys, strict=True)):
+        out.setdefault((k, len(x)), []).append(i)
+    return out
+
 
-    The order makes this one task a key: give a key (such as the subject) for more claims than a task holds. Without one,
-    more than MAX_CLAIMS raise.
+def _seeds_among(vectors: list[np.ndarray], keys: list, floor: float) -> list[int]:
+    """The places of those that are near to no earlier seed, by a sequential pass."""
+    out: list[int] = []
+    for (_, size), rows in _groups(vectors, keys).items():
+        m = np.stack([vectors[i] for i in rows])
+        near = m @ m.T >= floor if size else np.zeros((len(rows),) * 2, bool)
+        taken: list[int] = []
+        for i in range(len(rows)):
+            if not near[i, taken].any():
+                taken.append(i)
+        out += [rows[i] for i in taken]
+    return sorted(out)
+
+
+def _first_near(vectors: list[np.ndarray], keys: list, seeds: list[np.ndarray], seed_keys: list, floor: float) -> list[int | None]:
+    """Of each vector the number of the first seed of its key and length that is near enough."""
+    groups = _groups(seeds, seed_keys)
+    out: list[int | None] = [None] * len(vectors)
+    for g, rows in _groups(vectors, keys).items():
+        if g in groups and g[1]:
+            near = np.stack([vectors[i] for i in rows]) @ np.stack([seeds[i] for i in groups[g]]).T >= floor
+            for i, hit, first in zip(rows, near.any(axis=1), near.argmax(axis=1), strict=True):
+                out[i] = groups[g][first] if hit else None
+    return out
+
+
+def greedy_clusters(claims: DataFrame, floor: float = 0.83, key: str | None = None, block: int = 2048) -> DataFrame:
+    """(id, cluster) in the order of ``pos``, then ``id``: a claim joins the first seed it is near enough to, else it becomes one; by ``key`` if given.
+
+    The result is that of a sequential pass, in parallel rounds. The first ``block`` claims that are still open choose the
+    next seeds among themselves (all seeds before them are known not to be near), and all other open claims look at those seeds at
+    once, in every task. So a task holds a block of seeds, no pairs are made, and claims that many are near to are
+    settled in one round; there are as many rounds as blocks of claims that are near to none before them. Clusters are numbered from 0 in the order
+    of their seeds (of a key's seeds, if given). Vectors without direction or of another length are near nothing.
     """
-    if key is None and claims.limit(MAX_CLAIMS + 1).count() > MAX_CLAIMS:
-        raise ValueError(f"more than {MAX_CLAIMS} claims without a key")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        seeds: list[np.ndarray] = []
-        out = []
-        for v in pdf["embedding"]:
-            x = np.asarray(v, np.float64)
-            x = x / max(np.linalg.norm(x), 1e-300)
-            hit = np.flatnonzero(np.array([s @ x for s in seeds]) >= floor) if seeds else []
-            out.append(int(hit[0]) if len(hit) else len(seeds))
-            if not len(hit):
-                seeds.append(x)
-        return pd.DataFrame({"id": pdf["id"], "cluster": out})
-
-    c = claims if key else claims.withColumn("__one", F.lit(1))
-    return c.groupBy(key or "__one").applyInPandas(run, "id long, cluster int")
+    spark = claims.sparkSession
+    k = F.lit(None).cast("string") if key is None else F.coalesce(F.col(key).cast("string"), F.lit(""))
+    todo, at = stored(claims.select("id", "pos", k.alias("k"), "embedding"))
+    id_type = dict(todo.dtypes)["id"]
+    fields = f"id {id_type}, pos {dict(todo.dtypes)['pos']}, k string, embedding {dict(todo.dtypes)['embedding']}, seed long"
+    done, paths, count = None, [], 0
+    while rows := todo.orderBy("pos", "id").limit(block).collect():
+        vectors, keys = _directions(r["embedding"] for r in rows), [r["k"] for r in rows]
+        chosen = _seeds_among(vectors, keys, floor)
+        seeds, seed_keys = [vectors[i] for i in chosen], [keys[i] for i in chosen]
+        own = {(rows[i]["pos"], rows[i]["id"]): n for n, i in enumerate(chosen)}
+
+        def run(it: Iterator[pd.DataFrame], seeds=seeds, seed_keys=seed_keys, own=own, count=count) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                near = _first_near(_directions(pdf["embedding"]), [None if x is None or x != x else x for x in pdf["k"]], seeds, seed_keys, floor)
+                # a seed without direction is near nothing, itself included
+                near = [own.get((p, i)) if n is None else n for n, p, i in zip(near, pdf["pos"], pdf["id"], strict=True)]
+                seed = pd.array([None if n is None else count + n for n in near], dtype="Int64")
+                yield pdf.assign(seed=seed, embedding=[None if n is not None else e for n, e in zip(near, pdf["embedding"], strict=True)])
+
+        looked, path = stored(todo.mapInPandas(run, fields))
+        discard(spark, at) if count == 0 else None
+        paths.append(path)
+        settled = looked.filter("seed IS NOT NULL").select("id", "k", "seed")
+        done = settled if done is None else done.union(settled)
+        todo, count = looked.filter("seed IS NULL").drop("seed"), count + len(chosen)
+    if done is None:
+        return todo.select("id", F.lit(0).alias("cluster"))
+    if key is not None:
+        # seeds of a key, narrow rows
+        order = done.select("k", "seed").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy("k").orderBy("seed")) - 1)
+        out = stored(done.join(order, ["k", "seed"]).select("id", "cluster"))[0]
+    else:
+        out = stored(done.select("id", F.col("seed").cast("int").alias("cluster")))[0]
+    discard(spark, *paths)
+    return out
 
 
 def parse_extractions(chunks: DataFrame, raw: str = "extract_raw", chunk: str = "chunk_id") -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import tolerant_json
 from graphloom.operators import graph as G
 from graphloom.operators import retrieval as R
 from graphloom.plans.kg import KnowledgeGraph
@@ -85,12 +85,9 @@ def retrieve(
 
 
 def parse_subquestions(reply: str | None, original: str, most: int = 5) -> list[str]:
-    """Sub-questions of a planner's reply: a JSON array, else its lines without list marks; fewer than two mean the question itself."""
+    """Sub-questions of a planner's reply: a JSON array, also in prose or cut off, else its lines without list marks; fewer than two mean the question itself."""
     text = (reply or "").strip()
-    try:
-        items = json.loads(text) if text.startswith("[") else None
-    except ValueError:
-        items = None
+    items = tolerant_json.loads(text) if "[" in text else None
     found = [str(x).strip() for x in items if str(x).strip()] if isinstance(items, list) else []
     if len(found) < 2:
         found = [x for x in (re.sub(r"^\s*(?:[-*•]|\d+[.)])\s*", "", line).strip() for line in text.splitlines()) if x]

@@ -8,4 +8,4 @@ def load_queries() -> None:
         importlib.import_module(f"graphloom.plans.{name}")
 
 
-QUERY_MODULES = ("catalog_queries", "graph_queries", "data_queries", "stream_queries", "upkeep_queries", "search_queries")
+QUERY_MODULES = ("catalog_queries", "graph_queries", "data_queries", "stream_queries", "upkeep_queries", "search_queries", "index_queries")

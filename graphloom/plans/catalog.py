@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import inspect
-import json
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 
+from graphloom.functions import tolerant_json
 from graphloom.operators import graph as G
 from graphloom.operators import primitives as P
 from graphloom.operators.search import is_trend_question
@@ -80,21 +79,17 @@ class PrimitiveCall:
 
 
 def parse_plan(text: str, labels: tuple[str, ...] = (), max_steps: int = MAX_STEPS, **given: Any) -> list[PrimitiveCall]:
-    """Steps of a plan in JSON, wherever it stands in the text.
+    """Steps of a plan in JSON, wherever it stands in the text; of a plan that was cut off, the complete ones.
 
     Unknown primitives and steps without their required parameters are dropped; a type is brought to the case of the
     known labels, an unknown one means all. ``given`` are parameters that the caller adds (such as today).
     """
-    m = re.search(r"\{.*\}|\[.*\]", text or "", re.S)
-    try:
-        plan = json.loads(m[0]) if m else []
-    except ValueError:
-        return []
+    plan, cut = tolerant_json.scan(text)
     steps = plan.get("steps", []) if isinstance(plan, dict) else plan
     canon = {x.lower(): x for x in labels}
     out = []
     for s in steps if isinstance(steps, list) else []:
-        p = CATALOG.get(s.get("primitive", "")) if isinstance(s, dict) else None
+        p = CATALOG.get(s.get("primitive", "")) if isinstance(s, dict) and not any(s is c for c in cut) else None
         if p is None:
             continue
         params = {k: v for k, v in {**given, **(s.get("params") or {})}.items() if k in p.params and v is not None}

@@ -42,12 +42,17 @@ primitive(
 )
 primitive(
     "conn_entity_dossier",
-    f""", own AS MATERIALIZED (SELECT rel_type, b, weight, rel_id, polarity, label FROM u JOIN entities n ON n.name = u.b WHERE a = '{CUST}'),
+    f""", me AS (SELECT * FROM customer WHERE c_name = '{CUST}'), mine AS (SELECT ord.* FROM ord JOIN me ON o_custkey = c_custkey),
+    met AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM mine) GROUP BY 1, 2),
+    own AS MATERIALIZED (SELECT 'CONTACT' AS rel_type, s_name AS b, n::DOUBLE AS weight, concat_ws('|', 'CONTACT', '{CUST}', s_name, l_orderkey) AS rel_id, NULL::VARCHAR AS polarity, 'Organization' AS label FROM met JOIN supplier ON l_suppkey = s_suppkey
+      UNION ALL SELECT 'PARTY_OF', oname, 1.0, concat_ws('|', 'PARTY_OF', '{CUST}', oname), NULL, 'OrderNumber' FROM mine
+      UNION ALL SELECT 'AMOUNT_OF', money, 1.0, concat_ws('|', 'AMOUNT_OF', '{CUST}', money, o_orderkey), NULL, 'Amount' FROM mine
+      UNION ALL SELECT 'MEMBER_OF', n_name, 1.0, concat_ws('|', 'MEMBER_OF', '{CUST}', n_name), NULL, 'Location' FROM me JOIN nation ON c_nationkey = n_nationkey),
     nb AS (SELECT * FROM own WHERE {_LIVE} AND {_NOTID} ORDER BY weight DESC, b, rel_id LIMIT 25), ids AS (SELECT label, b FROM own WHERE NOT {_NOTID} ORDER BY 1, 2 LIMIT 25),
     x AS (SELECT list(struct_pack(rel := rel_type, name := b, ntype := label, w := weight) ORDER BY weight DESC, b, rel_id) AS neighbors FROM nb),
     y AS (SELECT list(struct_pack(id_type := label, value := b) ORDER BY label, b) AS identifiers FROM ids),
     z AS (SELECT list(struct_pack(level := c.level, title := title) ORDER BY c.level, title) AS communities FROM in_community i JOIN communities c ON i.community_id = c.id AND i.level = c.level WHERE i.name = '{CUST}')
-    SELECT e.name, e.label, e.label || ' ' || e.name AS description, e.mention_count, neighbors, identifiers, communities FROM (SELECT * FROM entities WHERE name = '{CUST}') e, x, y, z""",
+    SELECT c_name AS name, 'Person' AS label, 'Person ' || c_name AS description, (SELECT count(*) FROM mine) AS mention_count, neighbors, identifiers, communities FROM me, x, y, z""",
     P.entity_dossier,
     name=CUST,
 )

@@ -153,14 +153,14 @@ def _knn_join(spark, sf):
     return R.knn_join(v.filter("vec_id % 50 = 0"), v)
 
 
-_BM25 = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS t FROM documents),
+_BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS t FROM documents),
 f AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda w: w = 'license')) AS a, len(list_filter(t, lambda w: w = 'rights')) AS b FROM d),
 s AS (SELECT count(*) AS c, avg(n) AS av, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f),
 r AS (SELECT doc_id, ln(1 + (c - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / av)) + ln(1 + (c - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM f, s)
 SELECT doc_id, score FROM r WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 10"""
 
 
-@register("ret_bm25", _BM25)
+@register("ret_bm25", _BM25_SQL)
 def _bm25(spark, sf):
     return R.bm25(t(spark, sf, "documents"), "License rights")
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.functions import tolerant_json
 from graphloom.operators import claims as C
 from graphloom.operators import resolve as X
 from graphloom.operators import retrieval as R
@@ -436,3 +437,17 @@ def _materialized(spark, sf):
     if set(out) != {"centrality", "risk"} or set(errors) != {"nonsense"}:
         raise RuntimeError(f"stages: {sorted(out)}, errors: {errors}")
     return out["risk"].join(k.entities.select("name", "label"), "name").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "fn_report",
+    """SELECT p_partkey, p_name AS title, 'About ' || p_brand AS summary, [struct_pack(statement := p_type, importance := p_size), struct_pack(statement := 'price', importance := 0)] AS findings FROM part""",
+)
+def _report(spark, sf):
+    # replies in prose, of which every other one is cut off inside its last finding
+    p = t(spark, sf, "part")
+    head = F.concat(F.lit('Here is the report [1]:\n```json\n{"title": "'), "p_name", F.lit('", "summary": " About '), "p_brand", F.lit('", "findings": [{"statement": "'), "p_type", F.lit('", "importance": '))
+    full = F.concat(head, F.col("p_size").cast("string"), F.lit('}, {"statement": " price ", "importance": "high"}, {"statement": '))
+    reply = F.concat(full, F.when(F.col("p_partkey") % 2 == 0, F.lit('""}]}\n```\nThat is all.')).otherwise(F.lit('"and th')))
+    r = tolerant_json.report(reply)
+    return p.select("p_partkey", r.alias("r")).select("p_partkey", "r.title", "r.summary", "r.findings")

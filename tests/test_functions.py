@@ -140,6 +140,36 @@ def test_merging_and_resolution(spark):
     assert dict(rows(X.greedy_clusters(c))) == {1: 0, 2: 0, 3: 1}
 
 
+def test_claims_cluster_as_in_a_sequential_pass(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(12)
+    rows_ = []
+    for i in range(160):
+        v = r.choice([None, [], [0.0, 0.0, 0.0], [1.0, 2.0]]) if i % 20 == 0 else [r.choice([1.0, 0.6, 0.0, -1.0]) for _ in range(3)]
+        rows_.append((i, r.randrange(90), r.choice(["x", "y", None]), v))
+
+    def sequential(keyed):
+        seeds, out = {}, {}
+        for i, _, k, v in sorted(rows_, key=lambda x: (x[1], x[0])):
+            mine = seeds.setdefault((k or "") if keyed else None, [])
+            x = np.asarray(v or [], float)
+            x = x / max(np.linalg.norm(x), 1e-300)
+            hit = [n for n, s in enumerate(mine) if len(s) == len(x) and len(x) and s @ x >= 0.83]
+            out[i] = hit[0] if hit else len(mine)
+            if not hit:
+                mine.append(x)
+        return out
+
+    c = spark.createDataFrame(rows_, "id long, pos int, subject string, embedding array<double>").repartition(3)
+    for block in (9, 2048):
+        assert dict(rows(X.greedy_clusters(c, block=block))) == sequential(False)
+    assert dict(rows(X.greedy_clusters(c, key="subject", block=9))) == sequential(True)
+    assert X.greedy_clusters(c.limit(0)).count() == 0
+
+
 def test_candidate_pairs_in_blocks_agree(spark):
     import random
 
