@@ -87,19 +87,20 @@ class _Scanner:
         return out
 
 
-def loads(text: str | None):
+def loads(text: str | None, opening: str = "{["):
     """:func:`scan` without the list of what was cut."""
-    return scan(text)[0]
+    return scan(text, opening)[0]
 
 
-def scan(text: str | None) -> tuple[dict | list | None, list]:
+def scan(text: str | None, opening: str = "{[") -> tuple[dict | list | None, list]:
     """The value, and those of its objects and arrays that are not whole. The value is the first object or array in a text that holds something, its complete items before a fault if it has one; None without one.
 
-    Of prose and fences around it nothing is kept; commas may be too many; an empty object or array counts if there is no other.
+    ``opening`` has the brackets that it may start with. Of prose and fences around it nothing is kept; commas may be too many; an empty object or array counts if there is no other.
     """
     text = text or ""
     empty, at = None, 0
-    while m := re.compile(r"[{\[]").search(text, at):
+    start = re.compile(f"[{re.escape(opening)}]")
+    while m := start.search(text, at):
         s = _Scanner(text, m.start())
         got = s.value()
         if got is not _NOTHING and got:
@@ -110,13 +111,13 @@ def scan(text: str | None) -> tuple[dict | list | None, list]:
     return empty, []
 
 
-def repaired(reply: Column) -> Column:
+def repaired(reply: Column, opening: str = "{[") -> Column:
     """A column of replies as valid JSON texts, for ``from_json``; null where there is none."""
 
     @F.pandas_udf("string")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            yield pd.Series([None if (v := loads(x)) is None else json.dumps(v, ensure_ascii=False) for x in s], dtype=object)
+            yield pd.Series([None if (v := loads(x, opening)) is None else json.dumps(v, ensure_ascii=False) for x in s], dtype=object)
 
     return run(reply)
 
@@ -128,7 +129,7 @@ def report(reply: Column) -> Column:
     an importance that is no number is 0.
     """
     raw = F.trim(F.coalesce(reply, F.lit("")))
-    r = F.from_json(repaired(raw), "title string, summary string, findings array<struct<statement:string,importance:string>>")
+    r = F.from_json(repaired(raw, "{"), "title string, summary string, findings array<struct<statement:string,importance:string>>")
     listed = F.filter(F.coalesce(r["findings"], F.array()), lambda x: F.trim(F.coalesce(x["statement"], F.lit(""))) != "")
     findings = F.transform(listed, lambda x: F.struct(F.trim(x["statement"]).alias("statement"), F.coalesce(x["importance"].try_cast("int"), F.lit(0)).alias("importance")))
     return F.struct(F.trim(F.coalesce(r["title"], F.lit(""))).alias("title"), F.trim(F.coalesce(r["summary"], raw)).alias("summary"), findings.alias("findings"))

@@ -418,17 +418,37 @@ def duplicate_identifiers(entities: DataFrame) -> DataFrame:
     return i.join(best, ["label", "key"]).filter("name <> canonical").select("name", "canonical")
 
 
-def events_to_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Extracted events as (entities labelled EventOrAction, PARTICIPATED_IN relations from the event to each participant).
+# Event types; all others count as ``other``.
+EVENT_TYPES = ("deal", "appointment", "lawsuit", "incident", "payment", "meeting", "sanction", "other")
+EVENT_NAME_CHARS = 120
 
-    events: event_type, trigger, participants (array), start, end, precision, chunk. Events without a type and a trigger are left out; the
-    name tells type, trigger and chunk, so that events of different chunks stay apart until they are merged.
+
+def events_to_graph(events: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Extracted events as (entities, PARTICIPATED_IN relations from an event to each participant).
+
+    events: event_type, trigger, participants (array), start, end, precision, chunk. An event is named by its trigger (EVENT_NAME_CHARS
+    characters), without one by its type, without either "event"; a type that is none of EVENT_TYPES becomes ``other`` and stays in ``event_type_raw``. Events
+    of one name are told apart by ``event_id``; events alike in all they say, in one chunk, are one. Participants
+    that are no known entity (by match key) become entities of the label Other, marked ``orphan``; blank ones are left out.
     """
-    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    e = events.filter((said("event_type") != "") & (said("trigger") != "")).withColumn("name", F.concat_ws(" ", said("event_type"), said("trigger"), F.concat(F.lit("["), F.col("chunk"), F.lit("]"))))
-    nodes = e.select("name", F.lit("EventOrAction").alias("label"), "event_type", F.col("start").alias("event_start_epoch"), F.col("end").alias("event_end_epoch"), F.col("precision").alias("event_ts_precision"), F.array("chunk").alias("source_chunks"))
-    ends = e.select(F.col("name").alias("src"), F.explode(F.array_distinct(F.transform("participants", lambda x: F.trim(x)))).alias("tgt"), "chunk").filter("tgt <> ''")
-    return nodes, ends.select("src", "tgt", F.lit("PARTICIPATED_IN").alias("rel_type"), F.lit(1.0).alias("weight"), F.array("chunk").alias("source_chunks"))
+    said = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    kind = F.lower(F.coalesce(said("event_type"), F.lit("event")))
+    e = events.select("*", F.substring(F.coalesce(said("trigger"), said("event_type"), F.lit("event")), 1, EVENT_NAME_CHARS).alias("name"), kind.isin(*EVENT_TYPES).alias("listed"), kind.alias("kind"))
+    key = F.sha2(F.to_json(F.struct("chunk", "name", "kind", "start", "end", "participants")), 256)
+    nodes = e.select(
+        key.alias("event_id"), "name", F.lit("EventOrAction").alias("label"), F.coalesce(said("trigger"), F.col("name")).alias("description"), F.when(F.col("listed"), F.col("kind")).otherwise("other").alias("event_type"),
+        F.when(~F.col("listed"), F.col("event_type")).alias("event_type_raw"), F.col("start").alias("event_start_epoch"), F.col("end").alias("event_end_epoch"), F.col("precision").alias("event_ts_precision"),
+        F.array("chunk").alias("source_chunks"), F.lit(False).alias("orphan"),
+    ).dropDuplicates(["event_id"])
+    ends = e.select(key.alias("event_id"), F.col("name").alias("src"), "chunk", F.explode("participants").alias("p")).select("event_id", "src", "chunk", S.match_key(F.trim("p")).alias("k")).filter("k IS NOT NULL AND k <> ''").distinct()
+    if known is None:
+        ends = ends.withColumn("found", F.lit(None).cast("string"))
+    else:
+        ends = ends.join(known.groupBy(S.match_key(F.col("name")).alias("k")).agg(F.min("name").alias("found")), "k", "left")
+    orphans = ends.filter("found IS NULL").groupBy(F.col("k").alias("name")).agg(F.array(F.min("chunk")).alias("source_chunks"))
+    orphans = orphans.select("name", F.lit("Other").alias("label"), F.lit("").alias("description"), "source_chunks", F.lit(True).alias("orphan"))
+    relations = ends.select("event_id", "src", F.coalesce("found", "k").alias("tgt"), F.lit("PARTICIPATED_IN").alias("rel_type"), F.lit(1.0).alias("weight"), F.array("chunk").alias("source_chunks"))
+    return nodes.unionByName(orphans, allowMissingColumns=True), relations
 
 
 def split_events(entities: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,15 +68,20 @@ def retrieve(
     """(question_id, chunk_id, via, rank) for all sub-questions at once: chunks near by vector, then chunks that mention an entity named in the question.
 
     questions: question_id, text, embedding; chunks: chunk_id, embedding, doc_date_epoch, doc_group. Dates and groups filter before the
-    cut, and of a chunk found both ways the vector's place stays. Entities are matched by their whole name
-    among the question's words, so the match is a join on names and not a scan of them.
+    cut, and of a chunk found both ways the vector's place stays. Entities are matched by their whole name, of however many words,
+    among the question's runs of words, so the match is a join on names and not a scan of them.
     """
     live = R.group_filter(R.date_filter(chunks, "doc_date_epoch", since, until), "doc_group", include, exclude)
     q = questions.select(F.col("question_id").alias("vec_id"), "embedding")
     near = R.knn_join(q, live.select(F.col("chunk_id").alias("vec_id"), "embedding"), k)
     by_vector = near.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), F.lit("vector").alias("via"), "rank")
-    words = questions.select("question_id", F.explode(F.array_distinct(F.split(F.trim(F.col("text")), r"[\s,;?!()]+"))).alias("entity_name"))
-    named = kg.mentions.join(words, "entity_name").join(live.select("chunk_id"), "chunk_id", "left_semi")
+    # runs of as many words as the longest name has; names are compared with single spaces
+    spaced = F.regexp_replace(F.trim("entity_name"), r"\s+", " ")
+    longest = kg.mentions.agg(F.max(F.size(F.split(spaced, " ")))).first()[0] or 1
+    words = F.filter(F.split(F.trim(F.col("text")), r"[\s,;?!()]+"), lambda w: w != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n <= F.size("w") + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    asked = questions.select("question_id", words.alias("w")).select("question_id", F.explode(F.array_distinct(runs)).alias("spaced"))
+    named = kg.mentions.withColumn("spaced", spaced).join(asked, "spaced").join(live.select("chunk_id"), "chunk_id", "left_semi")
     named = named.groupBy("question_id", "chunk_id").agg(F.countDistinct("entity_name").alias("n"))
     ranked = named.groupBy("question_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "chunk_id"))), 1, k).alias("top"))
     by_name = ranked.select("question_id", F.posexplode("top").alias("p", "x")).select("question_id", "x.chunk_id", F.lit("graph").alias("via"), (F.col("p") + 1).alias("rank"))

@@ -210,9 +210,27 @@ def _extracted(spark, sf):
     )
 
 
-@register("er_event_edges", "SELECT event_type || ' trigger ' || event_id % 7 || ' [c' || event_id || ']' AS src, 'User#' || user_id AS tgt, 'PARTICIPATED_IN' AS rel_type FROM events WHERE event_id % 10 <> 0")
+_EVENT_NAME = "CASE WHEN event_id % 10 <> 0 THEN 'trigger ' || event_id % 7 ELSE event_type END"
+
+
+def _event_graph(spark, sf):
+    # two of three users are known
+    people = t(spark, sf, "events").filter("user_id % 3 <> 0").select(F.concat(F.lit("User#"), F.col("user_id").cast("string")).alias("name")).distinct()
+    return X.events_to_graph(_extracted(spark, sf), people)
+
+
+@register("er_event_edges", f"SELECT {_EVENT_NAME} AS src, 'c' || event_id AS chunk, 'User#' || user_id AS tgt, 'PARTICIPATED_IN' AS rel_type FROM events")
 def _event_edges(spark, sf):
-    return X.events_to_graph(_extracted(spark, sf))[1].select("src", "tgt", "rel_type")
+    return _event_graph(spark, sf)[1].select("src", F.element_at("source_chunks", 1).alias("chunk"), "tgt", "rel_type")
+
+
+@register(
+    "er_event_nodes",
+    f"""SELECT {_EVENT_NAME} AS name, 'EventOrAction' AS label, 'other' AS event_type, event_type AS event_type_raw, false AS orphan, 'c' || event_id AS chunk FROM events
+    UNION ALL SELECT 'User#' || user_id, 'Other', NULL, NULL, true, min('c' || event_id) FROM events WHERE user_id % 3 = 0 GROUP BY user_id""",
+)
+def _event_nodes(spark, sf):
+    return _event_graph(spark, sf)[0].select("name", "label", "event_type", "event_type_raw", "orphan", F.element_at("source_chunks", 1).alias("chunk"))
 
 
 @register("er_split_events", KG_SQL + "SELECT label, count(*) AS n FROM entities WHERE label <> 'EventOrAction' GROUP BY 1 UNION ALL SELECT 'events', count(*) FROM entities WHERE label = 'EventOrAction'")

@@ -38,6 +38,7 @@ def test_wrapped_and_untidy_replies():
     assert J.loads('{"a": "line\nbreak"}') == {"a": "line\nbreak"}
     assert J.loads("no json, {no} [neither") is None and J.loads(None) is None and J.loads("[]") == [] and J.loads("{}") == {}
     assert J.loads("[" * 5000) is None
+    assert J.loads('see [1]: {"a": 2}', "{") == {"a": 2} and J.loads('see [1]: {"a": 2}') == [1]
     assert J.loads('{"a": 1] , "b": 2}') == {"a": 1}
     assert J.loads('[1, 2, {"x": 3}, 4') == [1, 2, {"x": 3}]
 
