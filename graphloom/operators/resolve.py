@@ -472,6 +472,34 @@ def link_canonical(mentions: DataFrame, aliases: DataFrame, items: DataFrame, au
     return j.select("surface", "label", F.coalesce("by_alias", "by_vector").alias("qid"), how.alias("how"))
 
 
+def translation_slices(chunks: DataFrame, translations: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, position, text): of each document's translation the part that stands for each of its chunks.
+
+    chunks: doc_id, chunk_id, end (characters of the original up to the chunk's end); translations: doc_id, original_chars, text. A chunk's
+    part ends where its share of the original ends, carried on to the end of the sentence ([.!?] and white space), and begins where the part before
+    ends. So the parts of a document join to its translation, in the order of the ends, and no sentence is cut; a chunk that lies within the last
+    sentence of another gets an empty part. Documents without a translation or a length are left out; null texts are empty.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = translations.filter("original_chars > 0").groupBy("doc_id").agg(F.first("original_chars").alias("n"), F.first(text).alias("t"))
+    ends = whole.select("doc_id", F.posexplode(F.split("t", r"(?<=[.!?]\s)")).alias("p", "s"))
+    upto = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("doc_id", F.sum(F.length("s")).over(upto).alias("at"), F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("long").alias("end"))
+    size = whole.select("doc_id", "n", F.length("t").cast("long").alias("len"))
+    last = Window.partitionBy("doc_id").orderBy(F.desc("end"), F.desc("chunk_id"))
+    raw = F.floor(F.col("end") * F.col("len") / F.col("n"))
+    # the last chunk has what is left
+    cut = chunks.join(size, "doc_id").withColumn("r", F.row_number().over(last)).select(
+        "doc_id", F.when(F.col("r") == 1, F.col("len")).otherwise(F.least(F.greatest(raw, F.lit(0)), F.col("len"))).alias("at"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("end").cast("long").alias("end")
+    )
+    # from the end on, the nearest sentence end so far; sentence ends come before cuts at the same place
+    back = Window.partitionBy("doc_id").orderBy(F.desc("at"), F.col("chunk_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    snapped = ends.unionByName(cut).withColumn("to", F.min(F.when(F.col("chunk_id").isNull(), F.col("at"))).over(back)).filter("chunk_id IS NOT NULL")
+    order = Window.partitionBy("doc_id").orderBy("end", "chunk_id")
+    placed = snapped.select("doc_id", "chunk_id", (F.row_number().over(order) - 1).alias("position"), F.coalesce(F.lag("to").over(order), F.lit(0)).alias("from"), "to")
+    return placed.join(whole.select("doc_id", "t"), "doc_id").select("doc_id", "chunk_id", "position", F.substring(F.col("t"), F.col("from") + 1, F.col("to") - F.col("from")).alias("text"))
+
+
 def split_windows(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, position, text): windows of whole lines of up to ``most`` characters for translation; a longer line is a window of its own pieces.
 

@@ -469,3 +469,20 @@ def _report(spark, sf):
     reply = F.concat(full, F.when(F.col("p_partkey") % 2 == 0, F.lit('""}]}\n```\nThat is all.')).otherwise(F.lit('"and th')))
     r = tolerant_json.report(reply)
     return p.select("p_partkey", r.alias("r")).select("p_partkey", "r.title", "r.summary", "r.findings")
+
+
+@register(
+    "tr_slices",
+    r"""WITH d AS (SELECT doc_id, length(text) AS n, 'Begin. ' || text || ' End. ' AS t FROM documents WHERE length(text) > 0),
+    x AS (SELECT doc_id, n, t, length(t) AS m, list_transform(regexp_split_to_array(t, '[.!?]\s'), lambda p: length(p) + 2) AS ls FROM d),
+    y AS (SELECT *, list_append(list_transform(range(1, len(ls)), lambda i: list_sum(ls[1:i])), m) AS ends FROM x),
+    z AS (SELECT doc_id, t, [0] || list_transform(range(1, 5), lambda k: list_min(list_filter(ends, lambda e: e >= CASE WHEN k = 4 THEN m ELSE (k * n // 4) * m // n END))) AS cuts FROM y)
+    SELECT doc_id, doc_id || '-' || k AS chunk_id, (k - 1)::INT AS position, md5(t[(cuts[k] + 1)::BIGINT : cuts[k + 1]::BIGINT]) AS text_md5 FROM z, unnest(range(1, 5)) AS u(k)""",
+)
+def _slices(spark, sf):
+    # four chunks a document; the translation is longer than the original
+    d = t(spark, sf, "documents").filter("length(text) > 0").select("doc_id", F.length("text").cast("long").alias("n"), "text")
+    k = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")
+    chunks = d.select("doc_id", "n", k).select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("chunk_id"), F.floor(F.col("k") * F.col("n") / 4).alias("end"))
+    translated = d.select("doc_id", F.col("n").alias("original_chars"), F.concat(F.lit("Begin. "), F.col("text"), F.lit(" End. ")).alias("text"))
+    return X.translation_slices(chunks, translated).select("doc_id", "chunk_id", "position", F.md5(F.col("text").cast("binary")).alias("text_md5"))

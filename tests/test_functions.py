@@ -170,6 +170,27 @@ def test_claims_cluster_as_in_a_sequential_pass(spark):
     assert X.greedy_clusters(c.limit(0)).count() == 0
 
 
+def test_translation_slices_join_and_cut_no_sentence(spark):
+    import re
+
+    texts = {1: "One two. Three four! Five?\nSix seven eight. Nine", 2: "no sentence end here", 3: None, 4: "A. " * 40, 5: "Ends. "}
+    docs = [(i, 100, x) for i, x in texts.items()] + [(6, 0, "no length. x"), (7, 10, "no chunks.")]
+    chunks = [(i, f"{i}{c}", e) for i in (1, 2, 3, 4, 5, 6, 9) for c, e in zip("abcd", (10, 35, 35, 100), strict=True)]
+    got = X.translation_slices(spark.createDataFrame(chunks, "doc_id long, chunk_id string, end int"), spark.createDataFrame(docs, "doc_id long, original_chars int, text string"))
+    by = {}
+    for r in got.orderBy("doc_id", "position").collect():
+        by.setdefault(r["doc_id"], []).append((r["chunk_id"], r["text"]))
+    assert set(by) == {1, 2, 3, 4, 5}
+    for i, parts in by.items():
+        assert [c for c, _ in parts] == [f"{i}{c}" for c in "abcd"] and "".join(x for _, x in parts) == (texts[i] or "")
+        at = 0
+        for _, x in parts:
+            at += len(x)
+            assert at in (0, len(texts[i] or "")) or re.search(r"[.!?]\s$", texts[i][:at])
+    # a part reaches the end of the sentence in which its share ends
+    assert by[1][0][1] == "One two. " and by[4][0][1] == "A. " * 4
+
+
 def test_candidate_pairs_in_blocks_agree(spark):
     import random
 
