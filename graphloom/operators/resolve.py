@@ -72,40 +72,81 @@ def deterministic_pairs(entities: DataFrame) -> DataFrame:
     return keys.join(lead, ["label", "k", "reason"]).filter("name <> a").select("a", F.col("name").alias("b"), "reason").distinct()
 
 
+def pair_cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the rows i of x with the rows j of y. The sums run from the first dimension on, so that copies of a vector have the very same cosines."""
+    out = np.empty(len(i))
+    xx, yy = np.sqrt(_dots(x, x)), np.sqrt(_dots(y, y))
+    for lo in range(0, len(i), 1 << 18):
+        p, q = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[lo : lo + (1 << 18)] = np.where((xx[p] == 0) | (yy[q] == 0), 0.0, _dots(x[p], y[q]) / xx[p] / yy[q])
+    return out
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, from the first dimension on."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[:, d]
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+#: What a matrix product's cosine may be off by; whatever lies so near to a limit is computed again by :func:`pair_cosines`.
+_ROUGH = 1e-9
+
+
 def candidate_pairs(items: DataFrame, floor: float = COSINE_FLOOR, floor_bare: float = COSINE_FLOOR_BARE, token_floor: float = TOKEN_FLOOR, auto: float = AUTO_MERGE, top_k: int = 10, block_rows: int = 2000) -> DataFrame:
     """(a, b, cosine, overlap, decision) within labels: vectors near enough, or enough shared name tokens.
 
     items: name, label, description, embedding. Blocks of one label meet pairwise as matrices (block_rows rows each, so no
-    task holds a whole label); every item keeps its top_k by cosine. 'auto' needs the same unmixed script, others are 'borderline'.
+    task holds a whole label); every item keeps its top_k by cosine, then overlap and name, of each meeting and then of all. 'auto' needs the same
+    unmixed script, others are 'borderline'.
     """
     it = items.select("name", "label", (F.coalesce("description", F.lit("")) == "").alias("bare"), "embedding", S.name_tokens(F.col("name")).alias("tokens"), S.script_of(F.col("name")).alias("script"))
     size = it.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     b = it.join(size, "label").withColumn("blk", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     met = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("blk", "o"), "q": F.greatest("blk", "o")})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("name").reset_index(drop=True)
-        m = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        cos = m @ m.T
-        bare, side = pdf["bare"].to_numpy(bool), pdf["blk"].to_numpy()
-        need = np.where(bare[:, None] | bare[None, :], floor_bare, floor)
-        over = np.zeros_like(cos)
-        sets = [set(t) for t in pdf["tokens"]]
-        where: dict[str, list[int]] = {}
-        for i, s in enumerate(sets):
-            for t in s:
-                where.setdefault(t, []).append(i)
-        for i, s in enumerate(sets):
-            for j in {j for t in s for j in where[t] if j != i}:
-                over[i, j] = len(s & sets[j]) / len(s | sets[j])
-        ok = ((cos >= need) | (over >= token_floor)) & ~np.eye(len(pdf), dtype=bool)
-        if key[1] != key[2]:
-            ok &= side[:, None] != side[None, :]
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        """Of each row of x the top_k rows of y; a row is no partner of itself."""
+        vx, vy = (np.stack(z["embedding"].to_list()).astype(np.float64) for z in (x, y))
+        cos = _unit(vx) @ _unit(vy).T
+        need = np.where(x["bare"].to_numpy(bool)[:, None] | y["bare"].to_numpy(bool)[None, :], floor_bare, floor)
+        where: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        for z, w in ((x, where[0]), (y, where[1])):
+            for i, tokens in enumerate(z["tokens"]):
+                for token in set(tokens):
+                    w.setdefault(token, []).append(i)
+        both = np.zeros_like(cos)
+        for token, i in where[0].items():
+            if token in where[1]:
+                both[np.ix_(i, where[1][token])] += 1
+        n = [np.array([len(set(t)) for t in z["tokens"]], np.float64) for z in (x, y)]
+        over = both / np.maximum(n[0][:, None] + n[1][None, :] - both, 1.0)
+        i, j = np.nonzero(np.abs(cos - need) <= _ROUGH)
+        cos[i, j] = pair_cosines(vx, vy, i, j)
+        ok = (cos >= need) | (over >= token_floor)
+        if x is y:
+            np.fill_diagonal(ok, False)
+        # those that may be among the best, by exact cosines
+        rough = np.where(ok, cos, -np.inf)
+        if rough.shape[1] > top_k:
+            ok &= rough >= np.partition(rough, -top_k, axis=1)[:, -top_k][:, None] - 2 * _ROUGH
         i, j = np.nonzero(ok)
-        n = pdf["name"].to_numpy()
-        sc = pdf["script"].to_numpy()
-        return pd.DataFrame({"a": n[i], "b": n[j], "cosine": cos[i, j], "overlap": over[i, j], "same_script": (sc[i] == sc[j]) & (sc[i] != "mixed")})
+        sx, sy = x["script"].to_numpy(), y["script"].to_numpy()
+        out = pd.DataFrame({"a": x["name"].to_numpy()[i], "b": y["name"].to_numpy()[j], "cosine": pair_cosines(vx, vy, i, j), "overlap": over[i, j], "same_script": (sx[i] == sy[j]) & (sx[i] != "mixed"), "i": i})
+        out = out.sort_values(["i", "cosine", "overlap", "b"], ascending=[True, False, False, True])
+        return out[out.groupby("i").cumcount() < top_k].drop(columns="i")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[1] == key[2]:
+            return best(pdf, pdf)
+        p, q = pdf[pdf["blk"] == key[1]], pdf[pdf["blk"] == key[2]]
+        return pd.concat([best(p, q), best(q, p)]) if len(p) and len(q) else pd.DataFrame({"a": [], "b": [], "cosine": [], "overlap": [], "same_script": []})
 
     found = met.groupBy("label", "p", "q").applyInPandas(run, "a string, b string, cosine double, overlap double, same_script boolean")
     top = found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), F.desc("overlap"), "b"))).filter(F.col("k") <= top_k)
@@ -188,12 +229,60 @@ def merge_events(events: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
-def cross_channel_events(events: DataFrame, entities: DataFrame, floor: float = 0.88) -> DataFrame:
-    """(event, entity, score): of entities in the same chunk the one of greatest cosine at or above the floor, the later on ties."""
-    x = events.select(F.col("name").alias("event"), F.explode("source_chunks").alias("chunk"), F.col("embedding").alias("ve"))
-    y = entities.select(F.col("name").alias("entity"), F.explode("source_chunks").alias("chunk"), F.col("embedding").alias("vn"), "pos")
-    j = x.join(y, "chunk").filter("event <> entity").withColumn("score", S.cosine(F.col("ve"), F.col("vn"))).filter(F.col("score") >= floor)
-    return j.groupBy("event").agg(F.max_by("entity", F.struct("score", "pos")).alias("entity"), F.max("score").alias("score"))
+def cross_channel_events(events: DataFrame, entities: DataFrame, floor: float = 0.88, block_rows: int = 4096) -> DataFrame:
+    """(event, entity, score): of entities in the same chunk the one of greatest cosine at or above the floor, the later on ties.
+
+    Blocks of a chunk's events and entities meet as matrices (block_rows rows each, so no task holds a chunk), and a meeting gives one row an event.
+    Vectors that are null, zero, hold nulls or are of another length than the other have a cosine of 0.
+    """
+    def blocks(df: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame]:
+        whole = F.when(F.forall("embedding", lambda v: v.isNotNull()), F.col("embedding").cast("array<double>"))
+        rows = df.select(F.col("name").alias(name), F.explode("source_chunks").alias("chunk"), whole.alias("v"), *more).filter(F.col(name).isNotNull())
+        return rows, rows.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"{name}_blocks"))
+
+    (x, nx), (y, ny) = blocks(events, "event"), blocks(entities, "entity", "pos")
+    grid = nx.join(ny, "chunk")
+    deal = lambda c: F.pmod(F.xxhash64(c), F.col(f"{c}_blocks")).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1))
+    x = x.join(grid, "chunk").withColumn("p", deal("event")).withColumn("q", each("entity")).select("chunk", "p", "q", "event", "v")
+    y = y.join(grid, "chunk").withColumn("q", deal("entity")).withColumn("p", each("event")).select("chunk", "p", "q", "entity", "v", "pos")
+    schema = f"event string, entity string, score double, pos {y.schema['pos'].dataType.simpleString()}"
+
+    def matrix(v: pd.Series, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([-1 if a is None else len(a) for a in v])
+        m = np.zeros((len(v), dims))
+        for i, a in enumerate(v):
+            if size[i] > 0:
+                m[i, : size[i]] = a
+        return m, size
+
+    def meet(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"event": [], "entity": [], "score": [], "pos": []})]
+        if not len(a) or not len(b):
+            return out[0]
+        # the later of equal cosines comes first
+        b = b.sort_values(["pos", "entity"], ascending=False).reset_index(drop=True)
+        dims = max((len(v) for v in [*a["v"], *b["v"]] if v is not None), default=0)
+        (va, sa), (vb, sb) = matrix(a["v"], dims), matrix(b["v"], dims)
+        ua, ub, event, entity, pos = _unit(va), _unit(vb), a["event"].to_numpy(), b["entity"].to_numpy(), b["pos"].to_numpy()
+        for lo in range(0, len(a), 512):
+            same = (sa[lo : lo + 512, None] == sb[None, :]) & (sa[lo : lo + 512, None] >= 0)
+            cos = np.where(same, ua[lo : lo + 512] @ ub.T, 0.0)
+            # not a number is above every number
+            cos[np.isnan(cos)] = np.inf
+            cos[event[lo : lo + 512, None] == entity[None, :]] = -np.inf
+            top = cos.max(axis=1, keepdims=True)
+            i, j = np.nonzero((cos >= np.maximum(np.where(np.isinf(top), top, top - 2 * _ROUGH), floor - _ROUGH)) & (cos > -np.inf))
+            score = np.where(same[i, j], pair_cosines(va[lo : lo + 512], vb, i, j), 0.0)
+            got = pd.DataFrame({"i": i, "j": j, "score": score, "by": np.where(np.isnan(score), np.inf, score)})
+            got = got[got["by"] >= floor].sort_values(["i", "by", "j"], ascending=[True, False, True]).drop_duplicates("i")
+            i, j = got["i"].to_numpy(), got["j"].to_numpy()
+            out.append(pd.DataFrame({"event": event[lo + i], "entity": entity[j], "score": got["score"].to_numpy(), "pos": pos[j]}))
+        return pd.concat(out[1:])
+
+    by = ["chunk", "p", "q"]
+    j = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(meet, schema)
+    return j.groupBy("event").agg(F.max_by("entity", F.struct("score", "pos", "entity")).alias("entity"), F.max("score").alias("score"))
 
 
 def classify(docs: DataFrame, name: str, size: str, extensions: tuple[str, ...], min_size: int, max_size: int) -> DataFrame:
