@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.operators.resolve import pair_cosines
 
 MAX_CELLS, SAMPLE_PER_CELL = 16_384, 64
 #: Rows of a cell, and queries, that are compared in one task at a time.
 CELL_ROWS, QUERY_ROWS = 8192, 2048
+#: Queries of a range search that meet a cell's part at a time; they are few floats each, and every block of them is sent the part again.
+WITHIN_ROWS = 16_384
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -251,6 +254,58 @@ class VectorIndex:
         scored = whole.select("query_id", "id", S.cosine(F.col("w").cast("array<double>"), F.col("v").cast("array<double>")).alias("score"))
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
+    def search_within(self, queries: DataFrame, least: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+        """(query_id, id, score): for every query all vectors with a cosine of ``least`` (above 0) or more, exactly and however many they are.
+
+        A query goes to the cells whose radius reaches to within the distance of that cosine, and there meets the whole vectors, at most CELL_ROWS of them and
+        WITHIN_ROWS queries in a task. Where cells are wide, that is all of them. Nothing passes the driver but the radii.
+        """
+        if not 0 < least <= 1:
+            raise ValueError("least must lie in (0, 1]")
+        dims, c = self._centroids.shape[1], self._centroids
+        q = _usable(queries, dims, key, vec)
+        key_type = dict(q.dtypes)["key"]
+        radius = np.full(len(c), -np.inf)
+        for r in self.rows_by_cell().collect():
+            radius[r["cell"]] = r["radius"]
+        # of unit vectors the squared distance is 2 - 2 * cosine; more by what rounding may take
+        reach = math.sqrt(2 - 2 * least) + 1e-6
+
+        def to_cells(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for lo in range(0, len(pdf), 1024):
+                    part = pdf.iloc[lo : lo + 1024]
+                    x = _unit(np.stack(part["v"].to_list()).astype(np.float64))
+                    far = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), 0.0))
+                    i, j = np.nonzero(far - radius[None, :] <= reach)
+                    yield pd.DataFrame({"query_id": part["key"].to_numpy()[i], "cell": j.astype(np.int32)})
+
+        asked = q.mapInPandas(to_cells, f"query_id {key_type}, cell int")
+        sizes = self.rows_by_cell().select("cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("parts"))
+        grid = sizes.join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / WITHIN_ROWS).cast("int").alias("blocks")), "cell")
+        asked = asked.join(grid, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(q.withColumnRenamed("key", "query_id"), "query_id")
+        asked = asked.select("cell", "part", "block", "query_id", F.col("v").cast("array<double>").alias("v"))
+        held = self._alive(None).select("cell", "key", "v").join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "part", "block", "key", F.col("v").cast("array<double>").alias("v"))
+        stored_type = dict(held.dtypes)["key"]
+
+        def meet(_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query_id": [], "id": [], "score": []})
+            if not len(a) or not len(b):
+                return none
+            x, y = np.stack(a["v"].to_list()), np.stack(b["v"].to_list())
+            ux, uy, out = _unit(x), _unit(y), [none]
+            for lo in range(0, len(x), 512):
+                i, j = np.nonzero(ux[lo : lo + 512] @ uy.T >= least - 1e-9)
+                score = pair_cosines(x[lo : lo + 512], y, i, j)
+                on = score >= least
+                out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[lo + i[on]], "id": b["key"].to_numpy()[j[on]], "score": score[on]}))
+            return pd.concat(out[1:])
+
+        by = ["cell", "part", "block"]
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(meet, f"query_id {key_type}, id {stored_type}, score double")
+
     def search_exact(self, query: Sequence[float], k: int = 10) -> DataFrame:
         """(key, score): the k nearest of all vectors. Cells are read nearest first, doubling in number, until none that is left can hold a nearer one.
 

@@ -44,7 +44,7 @@ def _planted(spark, sf):
     index = VectorIndex.build(v, _folder(spark), DIMS)
     # the copies come later, as an insert
     index.insert(v.select((F.col("vec_id") + _FAR).alias("vec_id"), F.transform("embedding", lambda x, i: x * (0.9 + 0.1 * ((i + 1) % 3))).alias("embedding")))
-    return index.search_many(v.filter("vec_id % 50 = 0"), k=5, probes=8).filter("id <> query_id AND score >= 0.95").select("query_id", "id", "score")
+    return index.search_within(v.filter("vec_id % 50 = 0"), 0.95).filter("id <> query_id").select("query_id", "id", "score")
 
 
 @register("txt_index_bm25", _BM25_SQL)
