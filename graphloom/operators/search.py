@@ -45,7 +45,9 @@ def graph_search(kg: KnowledgeGraph, text: str, query: Sequence[float] | None =
 def find_neighbours(kg: KnowledgeGraph, entity: str, hops: int = 1, max_nodes: int = 50) -> DataFrame:
     """(name, label, hop) of what lies within some hops of an entity."""
     nodes = G.graph_walk(kg, entity, hops, max_nodes=max_nodes + 1)[0].filter("hop > 0")
-    return nodes.join(kg.entities.select("name", "label"), "name", "left").select("name", "label", "hop").orderBy("hop", "name").limit(max_nodes)
+    # at most max_nodes names, so that the filter reaches the tables of each label
+    labels = kg.entities.filter(F.col("name").isin([r["name"] for r in nodes.collect()])).select("name", "label")
+    return nodes.join(labels, "name", "left").select("name", "label", "hop").orderBy("hop", "name").limit(max_nodes)
 
 
 def find_entity_by_id(entities: DataFrame, name: str, type: str | None = None) -> DataFrame:
