@@ -12,14 +12,18 @@ Layout: ``postings/bucket=`` (term, slot, n, peak, ids, counts, lens) sorted by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.retrieval import tokens
 
-#: Documents of a slot, about; partitions by the terms' hash; slots that are ranked for the threshold.
-SLOT_DOCS, BUCKETS, LEAD_SLOTS = 512, 64, 8
+#: Documents of a slot, about; partitions by the terms' hash; slots whose blocks share a file; slots that are ranked for the threshold.
+SLOT_DOCS, BUCKETS, FILE_SLOTS, LEAD_SLOTS = 512, 64, 32_768, 8
 
 
 def _part(count, length, avg: float, k1: float, b: float):
@@ -27,6 +31,33 @@ def _part(count, length, avg: float, k1: float, b: float):
     return count * (k1 + 1) / (count + k1 * (1 - b + b * length / F.lit(avg)))
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch], avg: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """(id, slot, words) in the order of the slots as posting blocks. A slot that is cut by the end of a batch has several blocks a term: its bound is then
+    the sum of theirs, which is a bound still."""
+    for batch in batches:
+        row, words = pc.list_parent_indices(batch.column(2)).to_numpy(), batch.column(2).flatten().dictionary_encode()
+        if not len(row):
+            continue
+        slot, lens = batch.column(1).to_numpy().astype(np.int64), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        n_words = len(words.dictionary)
+        pair, count = np.unique(row.astype(np.int64) * n_words + words.indices.to_numpy(), return_counts=True)
+        row, word = pair // n_words, pair % n_words
+        order = np.lexsort((row, word, slot[row]))
+        row, word, count = row[order], word[order], count[order]
+        heads = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(slot[row]) != 0)))
+        offsets = pa.array(np.append(heads, len(row)), pa.int32())
+        length = lens[row].astype(np.float64)
+        peak = np.maximum.reduceat(count * (k1 + 1) / (count + k1 * (1 - b + b * length / avg)), heads)
+        a_list = lambda x: pa.ListArray.from_arrays(offsets, x)
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.take(pa.array(word[heads])), pa.array(slot[row[heads]], pa.int32()), pa.array(np.diff(np.append(heads, len(row))), pa.int32()), pa.array(peak),
+                a_list(batch.column(0).take(pa.array(row))), a_list(pa.array(count, pa.int32())), a_list(pa.array(lens[row], pa.int32())),
+            ],
+            ["term", "slot", "n", "peak", "ids", "counts", "lens"],
+        )
+
+
 class TextIndex:
     """Postings in a folder that driver and executors share."""
 
@@ -44,17 +75,16 @@ class TextIndex:
         n, words = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         spark.createDataFrame([(n, words, float(k1), float(b), dict(d.dtypes)["id"])], "docs long, words long, k1 double, b double, id_type string").write.parquet(f"{path}/totals")
         slots = max(1, -(-n // slot_docs))
-        # a document's words are counted where it lies; the hash spreads even a word of every document over all slots
-        each = d.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("c"))
-        each = each.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-        block = each.groupBy("term", "slot").agg(F.sort_array(F.collect_list(F.struct("id", "c", "len"))).alias("p"))
-        peak = F.array_max(F.transform("p", lambda x: _part(x["c"], x["len"], words / n if n else 1.0, k1, b)))
-        block = block.select(
-            "term", "slot", F.size("p").alias("n"), peak.alias("peak"), F.col("p.id").alias("ids"), F.col("p.c").alias("counts"),
-            F.col("p.len").alias("lens"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-        )
-        # range-partitioned by bucket and term, so a bucket's files are few and their statistics tell terms apart
-        block.repartitionByRange("bucket", "term", "slot").sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").parquet(f"{path}/postings")
+        # the hash spreads even a word of every document over all slots; only the texts move, words are counted where their slot lies
+        placed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
+        placed = placed.repartition("slot").sortWithinPartitions("slot").select("id", "slot", tokens(F.col("text")).alias("t"))
+        kind = f"term string, slot int, n int, peak double, ids array<{dict(d.dtypes)['id']}>, counts array<int>, lens array<int>"
+        avg = words / n if n else 1.0
+        block = placed.mapInArrow(lambda it: _blocks_of(it, avg, k1, b), kind).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        # blocks of so many slots share a file, sorted by term, so a file does not grow with the documents and its statistics tell terms apart
+        files = -(-slots // FILE_SLOTS)
+        spread = block.repartition(BUCKETS * files, "bucket", F.pmod("slot", F.lit(files)))
+        spread.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").parquet(f"{path}/postings")
         return cls(spark, path)
 
     def _blocks(self, terms: list[str]) -> DataFrame:
