@@ -52,8 +52,8 @@ def merge_relations(rels: DataFrame) -> DataFrame:
 
 
 def orphan_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Endpoints without an entity, to be added with the label Other."""
-    ends = relations.select(F.col("src").alias("name")).union(relations.select("tgt")).distinct()
+    """Endpoints without an entity, to be added with the label Other; repeated relations and null ends add nothing."""
+    ends = relations.select(F.col("src").alias("name")).union(relations.select("tgt")).filter("name IS NOT NULL").distinct()
     return ends.join(entities.select("name"), "name", "left_anti").withColumn("label", F.lit("Other"))
 
 
