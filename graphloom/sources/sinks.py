@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +60,25 @@ def validate_observations(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(v.isNull() | F.isnan(v) | v.isin(float("inf"), float("-inf")), "not_finite").when(F.col("period_end") < F.col("period_start"), "period_order")
     r = points.withColumn("reason", reason)
     return r.filter("reason IS NULL").drop("reason"), r.filter("reason IS NOT NULL")
+
+
+def write_folder(docs: DataFrame, path: str) -> int:
+    """Each row (folder, text, and columns that order them) as a text file of its own in that folder below ``path``; their number.
+
+    Tasks write the files where they stay. The names follow from a partition's rows in order, so a task that runs again writes the same files.
+    """
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        part, n, known = TaskContext.get().partitionId(), 0, set()
+        for batch in it:
+            for folder, text in zip(batch.column("folder").to_pylist(), batch.column("text").to_pylist()):
+                if folder not in known:
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                    known.add(folder)
+                with fs.open_output_stream(f"{root}/{folder}/{part:05d}-{n:07d}.txt", compression=None) as out:
+                    out.write(text.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rest = [c for c in docs.columns if c not in ("folder", "text")]
+    return docs.sortWithinPartitions("folder", *rest, "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
